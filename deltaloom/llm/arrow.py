@@ -15,6 +15,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+_SIMPLE = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(),
+}
+
+
+def schema(columns: str) -> T.StructType:
+    """A schema of simple types from "name type, ..."; unlike a DDL parse it needs no session, so workers can use it."""
+    return T.StructType([T.StructField(name, _SIMPLE[kind]) for name, kind in (x.split() for x in columns.split(","))])
+
+
 def map_rows(
     df: DataFrame, inputs: list[str], outputs: str, rows: Callable[[dict[str, list]], dict[str, list]], rows_at_once: int = 256
 ) -> DataFrame:
@@ -24,8 +34,8 @@ def map_rows(
     output column. Only ``inputs`` are read, so other columns of ``df`` never reach Python. Every batch holds
     ``rows_at_once`` rows at most and is emitted before the next is touched.
     """
-    schema = T.StructType.fromDDL(outputs)
-    arrow = to_arrow_schema(schema)
+    made_of = T.StructType.fromDDL(outputs)
+    arrow = to_arrow_schema(made_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -38,4 +48,4 @@ def map_rows(
                 made = rows(got)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.select(*[df[name] for name in inputs]).mapInArrow(run, schema)
+    return df.select(*[df[name] for name in inputs]).mapInArrow(run, made_of)

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deltaloom.llm.shared import cut, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
 _UNIT = 1 << 52
@@ -80,14 +82,15 @@ def mix(
 ) -> DataFrame:
     """``id_col``, source, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words, repeats counted) of each row."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sized = df.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _uniform(id_col, seed).alias("u")
-    ).checkpoint()
+    sized = written(
+        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _uniform(id_col, seed).alias("u")),
+        "sizes",
+    )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     )
-    targets = targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).checkpoint()
+    targets = cut(targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
 
     def on_source(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
         same = F.col("l.source").eqNullSafe(F.col("r.source"))
@@ -114,7 +117,7 @@ def mix(
     )
     upto = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.sum("in_bin").over(upto) - F.col("in_bin") / 2
-    cut = (
+    ends = (
         last.withColumn("middle", middle)
         .groupBy("source")
         .agg(
@@ -122,11 +125,10 @@ def mix(
             (F.min("fine") / F.lit(float(BINS * BINS))).alias("low"),
         )
     )
-    cuts = (
+    cuts = cut(
         targets.alias("l")
-        .join(cut.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left")
+        .join(ends.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left")
         .select("l.*", F.coalesce("last_rank", "low").alias("cut"))
-        .checkpoint()
     )
     rank = F.col("odds") / (1 + F.col("odds"))
     extra = F.when((F.col("rest") > 0) & (rank <= F.col("cut")), F.lit(1)).otherwise(F.lit(0))
