@@ -49,3 +49,28 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.select(*[df[name] for name in inputs]).mapInArrow(run, made_of)
+
+
+def add_columns(
+    df: DataFrame, inputs: list[str], outputs: str, rows: Callable[[dict[str, list]], dict[str, list]], rows_at_once: int = 256
+) -> DataFrame:
+    """``df`` with ``outputs`` after its own columns, which pass through as they are. The names of ``outputs`` must be new."""
+    made_of = T.StructType([*df.schema.fields, *T.StructType.fromDDL(outputs).fields])
+    arrow = to_arrow_schema(made_of)
+    places = [df.columns.index(name) for name in inputs]
+    new = [f for f in to_arrow_schema(T.StructType.fromDDL(outputs))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(at, rows_at_once)
+                got = {}
+                for name, place in zip(inputs, places, strict=True):
+                    column = batch.column(place)
+                    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+                    got[name] = (column.cast(pa.large_binary()) if text else column).to_pylist()
+                made = rows(got)
+                arrays = [*batch.columns, *[pa.array(made[f.name], type=f.type) for f in new]]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, made_of)
