@@ -274,5 +274,13 @@ def near_duplicates(
     )
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """The rows of ``df`` whose id is the least of its component. Rows of a null id stay."""
+    found = near_duplicates(df, id_col, text_col, k, part, whole)
+    gone = written(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(gone) if small else gone, df[id_col] == F.col("__gone"), "left_anti")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, part=90, whole=100)

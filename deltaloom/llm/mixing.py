@@ -70,7 +70,16 @@ def _first_reaching(bins: DataFrame, bin_col: str, base: Column) -> DataFrame:
     )
 
 
-def mix(
+def _words(text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _odds(u: Column, rest: Column, size: Column) -> Column:
+    """Odds of the hash divided by those of inclusion."""
+    return (u / (1 - u)) / (rest / (size - rest))
+
+
+def cuts(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -80,10 +89,10 @@ def mix(
     most: float = 2.0,
     seed: int = 7,
 ) -> DataFrame:
-    """``id_col``, source, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words, repeats counted) of each row."""
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    """One row a source: ``source``, ``source_size``, ``target``, ``whole`` copies of each document, the ``rest`` of the
+    target, and ``cut``, the last rank that the sample takes."""
     sized = written(
-        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _uniform(id_col, seed).alias("u")),
+        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _words(text_col).alias("size"), _uniform(id_col, seed).alias("u")),
         "sizes",
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -96,11 +105,9 @@ def mix(
         same = F.col("l.source").eqNullSafe(F.col("r.source"))
         return left.alias("l").join(right.alias("r"), same if also is None else same & also)
 
-    chance = F.col("rest") / F.col("source_size")
-    odds = (F.col("u") / (1 - F.col("u"))) / (chance / (1 - chance))
     ranked = (
         on_source(sized, targets.filter((F.col("rest") > 0) & (F.col("source_size") > 0)))
-        .select("l.source", "size", "rest", odds.alias("odds"))
+        .select("l.source", "size", "rest", _odds(F.col("u"), F.col("rest"), F.col("source_size")).alias("odds"))
         .withColumn("rank", F.col("odds") / (1 + F.col("odds")))
         .withColumn("fine", F.least(F.floor(F.col("rank") * BINS * BINS), F.lit(BINS * BINS - 1)))
         .withColumn("bin", F.floor(F.col("fine") / BINS))
@@ -125,28 +132,54 @@ def mix(
             (F.min("fine") / F.lit(float(BINS * BINS))).alias("low"),
         )
     )
-    cuts = cut(
+    return cut(
         targets.alias("l")
         .join(ends.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left")
         .select("l.*", F.coalesce("last_rank", "low").alias("cut"))
     )
-    rank = F.col("odds") / (1 + F.col("odds"))
-    extra = F.when((F.col("rest") > 0) & (rank <= F.col("cut")), F.lit(1)).otherwise(F.lit(0))
-    return (
-        on_source(sized, cuts)
-        .withColumn("odds", F.when(F.col("rest") > 0, odds))
-        .withColumn("copies", (F.col("whole") + extra).cast("int"))
-        .select(
-            F.col("id").alias(id_col),
-            F.col("l.source").alias(source_col),
-            "size",
-            "source_size",
-            "target",
-            "copies",
-            (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        )
+
+
+def copies(df: DataFrame, found: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """``df`` as struct ``row`` with its source's row of ``found`` as ``of`` and its number of ``copies``."""
+    u = _uniform(id_col, seed)
+    rows = df.select(F.struct("*").alias("row"), F.col(source_col).alias("__source"), u.alias("__u"))
+    of = found.select(F.struct("*").alias("of"))
+    rank = _odds(F.col("__u"), F.col("of.rest"), F.col("of.source_size"))
+    rank = rank / (1 + rank)
+    extra = F.when((F.col("of.rest") > 0) & (rank <= F.col("of.cut")), F.lit(1)).otherwise(F.lit(0))
+    joined = rows.join(of, F.col("__source").eqNullSafe(F.col("of.source")))
+    return joined.select("row", "of", (F.col("of.whole") + extra).cast("int").alias("copies"))
+
+
+def mix(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 7,
+) -> DataFrame:
+    """``id_col``, source, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words, repeats counted) of each row."""
+    found = cuts(df, id_col, text_col, source_col, weights, share, most, seed)
+    narrow = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _words(text_col).alias("size"))
+    return copies(narrow, found, "id", "source", seed).select(
+        F.col("row.id").alias(id_col),
+        F.col("row.source").alias(source_col),
+        "row.size",
+        "of.source_size",
+        "of.target",
+        "copies",
+        (F.col("copies") * F.col("row.size")).alias("taken"),
     )
 
 
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it."""
+    counted = copies(df, cuts(df, id_col, text_col, source_col), id_col, source_col).filter("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
