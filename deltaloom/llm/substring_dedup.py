@@ -217,8 +217,8 @@ def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PRE
     kept = found.join(often, found["prefix"] == often["twice"]).select(
         "rid", F.struct("pos", "prefix", F.pmod(F.xxhash64("rid", "pos"), parts).cast("int").alias("part"), (parts > 1).alias("split")).alias("anchor")
     )
-    lists = kept.groupBy(F.col("rid").alias("row")).agg(F.collect_set("anchor").alias("anchors"))
-    near = docs.join(lists, docs["rid"] == lists["row"])
+    lists = kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors"))
+    near = docs.join(lists, docs["rid"] == lists["__rid"])
     places = (near.columns.index("rid"), near.columns.index(text_col), near.columns.index("anchors"))
     suffixes = near.mapInArrow(_cut_suffixes(*places, window, prefix), _SUFFIXES)
     trees = suffixes.repartition("prefix", "part").sortWithinPartitions("prefix", "part").mapInArrow(_grow_trees(window, prefix), _MARKS)
@@ -227,8 +227,8 @@ def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PRE
     over = named.groupBy(F.col("window_hash").alias("same")).agg(F.sum("times").alias("all")).filter("all > 1")
     across = named.join(over, named["window_hash"] == over["same"]).select("rid", "pos", "mask")
     every = marks.filter("window_hash IS NULL").select("rid", "pos", "mask").unionByName(across)
-    of_row = every.groupBy(F.col("rid").alias("row")).agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))
-    return docs.join(of_row, docs["rid"] == of_row["row"], "left").drop("row")
+    of_row = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))
+    return docs.join(of_row, docs["rid"] == of_row["__rid"], "left").drop("__rid")
 
 
 def keep_words(data: bytes, marks: list[dict] | None, window: int) -> tuple[int, int, bytes]:
