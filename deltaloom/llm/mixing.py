@@ -76,7 +76,7 @@ def _words(text_col: str) -> Column:
 
 def _odds(u: Column, rest: Column, size: Column) -> Column:
     """Odds of the hash divided by those of inclusion."""
-    return (u / (1 - u)) / (rest / (size - rest))
+    return F.try_divide(u / (1 - u), F.try_divide(rest, size - rest))
 
 
 def cuts(
@@ -97,7 +97,7 @@ def cuts(
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most).withColumn(
-        "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+        "whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     )
     targets = cut(targets.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
 
@@ -145,8 +145,7 @@ def copies(df: DataFrame, found: DataFrame, id_col: str = "doc_id", source_col:
     rows = df.select(F.struct("*").alias("row"), F.col(source_col).alias("__source"), u.alias("__u"))
     of = found.select(F.struct("*").alias("of"))
     rank = _odds(F.col("__u"), F.col("of.rest"), F.col("of.source_size"))
-    rank = rank / (1 + rank)
-    extra = F.when((F.col("of.rest") > 0) & (rank <= F.col("of.cut")), F.lit(1)).otherwise(F.lit(0))
+    extra = F.when((F.col("of.rest") > 0) & (rank / (1 + rank) <= F.col("of.cut")), F.lit(1)).otherwise(F.lit(0))
     joined = rows.join(of, F.col("__source").eqNullSafe(F.col("of.source")))
     return joined.select("row", "of", (F.col("of.whole") + extra).cast("int").alias("copies"))
 
