@@ -217,7 +217,7 @@ def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PRE
     kept = found.join(often, found["prefix"] == often["twice"]).select(
         "rid", F.struct("pos", "prefix", F.pmod(F.xxhash64("rid", "pos"), parts).cast("int").alias("part"), (parts > 1).alias("split")).alias("anchor")
     )
-    lists = kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors"))
+    lists = written(kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors")), "lists")
     near = docs.join(lists, docs["rid"] == lists["__rid"])
     places = (near.columns.index("rid"), near.columns.index(text_col), near.columns.index("anchors"))
     suffixes = near.mapInArrow(_cut_suffixes(*places, window, prefix), _SUFFIXES)
