@@ -1,4 +1,423 @@
 """The engine's queries by name, and the same in SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deltaloom.functions import keys as K
+from deltaloom.functions import masking as M
+from deltaloom.functions import positions as P
+from deltaloom.operators import apply as A
+from deltaloom.operators import checks, ddl, documents, enrichment, selection, snapshot
+from deltaloom.plans.transform import Rule, transform
+from deltaloom.sources.change_stream import orders_changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_changes(spark, sf_dir)
+
+
+CHANGES = """WITH c AS (
+SELECT 'I' AS action, o_orderkey * 4 + 1 AS pos, o_orderkey, o_custkey, o_orderstatus FROM orders
+UNION ALL SELECT 'U', o_orderkey * 4 + 2, o_orderkey, o_custkey, 'X' FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'D', o_orderkey * 4 + 3, o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 = 0)
+"""
+_LAST = CHANGES + ", l AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos DESC) AS rn FROM c)\n"
+
+
+# --- changes applied to tables
+
+
+@query(_LAST + "SELECT o_orderkey, o_custkey, repeat('*', length(o_orderstatus)) AS o_orderstatus FROM l WHERE rn = 1 AND action <> 'D'")
+def apply_upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _changes(spark, sf_dir).withColumns({"schema": F.lit("public"), "table": F.lit("orders")})
+    kept = selection.Selection.of(include=["public.orders"]).rows(events).drop("schema", "table")
+    masked = transform(kept, [Rule("o_orderstatus", "masking")])
+    return A.upsert(None, masked, ["o_orderkey"])
+
+
+@query(CHANGES + "SELECT o_orderkey, o_custkey, o_orderstatus FROM c WHERE action = 'I'")
+def apply_conflict_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.insert_new(None, _changes(spark, sf_dir), ["o_orderkey"])
+
+
+@query(
+    CHANGES + ", t AS (SELECT max(pos) - 4000 AS cut FROM c), l AS (SELECT c.*, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos DESC) AS rn"
+    " FROM c, t WHERE pos > cut) SELECT o_orderkey, o_custkey, o_orderstatus FROM l WHERE rn = 1 AND action <> 'D'"
+)
+def apply_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = _changes(spark, sf_dir)
+    cut = changes.agg((F.max("pos") - 4000).alias("pos")).withColumn("action", F.lit("T"))
+    return A.upsert(None, A.after_truncate(changes.unionByName(cut, allowMissingColumns=True)), ["o_orderkey"])
+
+
+@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS key, o_custkey FROM orders")
+def apply_pk_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    none = F.lit(None).cast("long")
+    inserts = orders.select(F.lit("I").alias("action"), (F.col("o_orderkey") * 2).alias("pos"), F.col("o_orderkey").alias("key"), none.alias("old"), "o_custkey")
+    moves = orders.filter("o_orderkey % 5 = 0").select(
+        F.lit("U").alias("action"), (F.col("o_orderkey") * 2 + 1).alias("pos"), (-F.col("o_orderkey")).alias("key"), F.col("o_orderkey").alias("old"), "o_custkey"
+    )
+    return A.upsert(None, A.split_key_changes(inserts.unionByName(moves), "key", "old"), ["key"]).select("key", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0")
+def bulk_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.delete_keys(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _changes(spark, sf_dir), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 + 1)::BIGINT AS chunk FROM orders")
+def bulk_insert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.chunks(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 3).select("o_orderkey", "chunk")
+
+
+@query(
+    CHANGES + ", m AS (SELECT *, CASE WHEN action = lag(action) OVER w THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY pos)),"
+    " r AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM m)"
+    " SELECT o_custkey, run::BIGINT AS run, action, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM r GROUP BY ALL"
+)
+def run_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.runs(_changes(spark, sf_dir), ["action"], "o_custkey")
+
+
+@query("SELECT 'orders' AS \"table\", max(o_orderkey) AS value FROM orders")
+def sequence_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.sequence_values(_changes(spark, sf_dir).withColumn("table", F.lit("orders")), "table", "o_orderkey")
+
+
+# --- selection
+
+
+def _as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", F.lit("web").alias("schema"), F.col("event_type").alias("table"))
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
+def filter_include(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.Selection.of(include=["web.click", "*.view"]).rows(_as_tables(spark, sf_dir)).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'error'")
+def filter_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.Selection.of(exclude=["web.error", "other.*"]).rows(_as_tables(spark, sf_dir)).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'signup', 'error')")
+def filter_schema_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.Selection.of(include=["web.*"], schema_only=["web.purchase"]).rows(_as_tables(spark, sf_dir)).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'error' AND NOT (event_id % 2 = 0)")
+def filter_ddl_multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda t: F.struct(F.lit("web").alias("schema"), t.alias("table"))
+    other = F.when(F.col("event_id") % 2 == 0, F.lit("error")).otherwise(F.lit("view"))
+    rows = _as_tables(spark, sf_dir).select("event_id", F.array(one(F.col("table")), one(other)).alias("objects"))
+    return rows.filter(selection.Selection.of(exclude=["web.error"]).keeps_ddl(F.col("objects"))).select("event_id")
+
+
+@query("SELECT n_nationkey, (n_nationkey % 3 = 0) AS skipped FROM nation")
+def ddl_object_type_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("n_nationkey") % 3
+    types = F.when(third == 0, F.array(F.lit("INDEX"), F.lit("view"))).when(third == 1, F.array(F.lit("index"), F.lit("table"))).otherwise(F.array().cast("array<string>"))
+    return _read(spark, sf_dir, "nation").select("n_nationkey", selection.skips_object_types(types, ["index", "view"]).alias("skipped"))
+
+
+@query("SELECT n_name AS \"table\" FROM nation WHERE n_regionkey = 1 AND n_nationkey <> 2")
+def snapshot_table_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _read(spark, sf_dir, "nation")
+    catalog = nation.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("schema"), F.col("n_name").alias("table"))
+    dropped = nation.filter("n_nationkey = 2").select(F.col("n_name").alias("table"))
+    return selection.expand(["r1.*"], catalog).join(F.broadcast(dropped), "table", "left_anti").select("table")
+
+
+@query("SELECT 'r' || n_regionkey AS schema, n_name AS \"table\" FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 4 <> 0")
+def snapshot_pending_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _read(spark, sf_dir, "nation")
+    schema = F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("schema")
+    status = F.when(F.col("n_nationkey") % 4 == 0, "completed").otherwise("requested").alias("status")
+    log = nation.select(schema, F.col("n_name").alias("table"), status)
+    whole = nation.filter("n_regionkey = 2").select(schema, F.lit("*").alias("table"), F.lit("completed").alias("status"))
+    return snapshot.pending(nation.select(schema, F.col("n_name").alias("table")), log.unionByName(whole))
+
+
+@query("SELECT 'I' AS action, '0/0' AS lsn, 'public' AS schema, 'nation' AS \"table\", n_nationkey, n_name, n_regionkey FROM nation")
+def snapshot_to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.as_inserts(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "public", "nation")
+
+
+@query("SELECT c_custkey AS \"table\", r AS first_page, least(r + 4, c_custkey % 11) AS end_page FROM customer, range(0, 11, 4) t(r) WHERE r < greatest(c_custkey % 11, 1)")
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = F.col("c_custkey") % 11
+    return snapshot.page_ranges(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table"), pages.alias("pages"), (pages * 8192).alias("bytes")), 32768)
+
+
+# --- enrichment and sanitising
+
+
+@query("SELECT o_orderkey, 'orders' AS \"table\", 't1-1' AS identity FROM orders")
+def inject_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    column = "array<struct<attnum:int,primary:boolean,unique:boolean,nullable:boolean>>"
+    tables = spark.createDataFrame(
+        [("orders", "t1", [(2, False, True, False), (1, True, True, False)]), ("log", "t2", [(1, False, False, True)])], f"`table` string, table_id string, columns {column}"
+    )
+    events = _read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.lit("orders"), F.lit("log"))).alias("table"))
+    return enrichment.inject(events, tables).select("o_orderkey", "table", F.concat_ws(",", "identity_ids").alias("identity"))
+
+
+@query("SELECT doc_id, text AS text FROM documents")
+def sanitize_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", enrichment.sanitize(F.concat("text", F.chr(F.lit(0)))).alias("text"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-06-01' THEN 2 WHEN ts >= TIMESTAMP '2024-01-10' THEN 1 END::BIGINT AS version FROM events"
+)
+def metadata_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("table"), F.col("ts").cast("timestamp").alias("pos"))
+    tables = events.select("table").distinct()
+    when = spark.createDataFrame([("2024-01-10", 1), ("2024-06-01", 2)], "at string, version long").select(F.to_timestamp("at").alias("pos"), "version")
+    return ddl.as_of(events, tables.crossJoin(F.broadcast(when))).select("event_id", "version")
+
+
+# --- transformers
+
+_NAME = "c_name AS name"
+
+
+def _customers(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select("c_custkey", *[v.alias(k) for k, v in columns.items()])
+
+
+def _mask(name: str, sql: str, expr: Callable) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _customers(spark, sf_dir, masked=expr(F.col("c_name")))
+
+    QUERIES[name], SQL[name] = run, f"SELECT c_custkey, {sql} AS masked FROM customer"
+
+
+_mask("mask_default", "repeat('*', length(c_name))", M.default)
+_mask("mask_password", "'************'", M.password)
+_mask("mask_address", "substr(c_name, 1, 6) || '******'", M.address)
+_mask("mask_id", "substr(c_name, 1, 6) || '****'", M.identifier)
+_mask("mask_credit_card", "substr(c_name, 1, 6) || '******' || substr(c_name, 13)", M.credit_card)
+_mask("mask_mobile", "substr(c_name, 1, 4) || '***' || substr(c_name, 8)", M.mobile)
+_mask("mask_email", "substr(c_name, 1, 3) || '****' || right(c_name, 1) || '@x.org'", lambda c: M.email(F.concat(c, F.lit("@x.org"))))
+_mask("mask_custom_range", "substr(c_name, 1, 4) || repeat('*', greatest(length(c_name) - 4, 0))", lambda c: M.custom(c, "4", "400%"))
+_mask("mask_custom_unmask", "repeat('*', least(3, length(c_name))) || substr(c_name, 4, 5) || repeat('*', greatest(length(c_name) - 8, 0))", lambda c: M.custom(c, "3", "8", True))
+_mask("literal_string", "'gone'", lambda c: F.when(c.isNotNull(), F.lit("gone")))
+_mask("anon_digest", "sha256(c_name || 'salt')", lambda c: M.digest(c, "salt"))
+_mask("anon_hash_md5", "md5(c_name)", lambda c: M.digest(c, "", "md5"))
+_mask("anon_partial", "substr(c_name, 1, 2) || 'xx' || right(c_name, 3)", lambda c: M.partial(c, 2, "xx", 3))
+_mask("anon_partial_email", "substr(c_name, 1, 2) || '******@ex******.com'", lambda c: M.partial_email(F.concat(c, F.lit("@example.com"))))
+_HASH = "('0x' || substr(md5(c_name), 1, 15))::BIGINT"
+_mask("range_integer", f"(10 + {_HASH} % 91)::BIGINT", lambda c: M.in_range(c, 10, 100))
+_mask("range_date", f"strftime(DATE '2020-01-01' + ({_HASH} % 366)::INT, '%Y-%m-%d')", lambda c: M.date_in_range(c, "2020-01-01", "2020-12-31").cast("string"))
+_mask("range_choice", f"list_extract(['a', 'b', 'c'], ({_HASH} % 3 + 1)::INT)", lambda c: M.choice(c, ["a", "b", "c"]))
+_mask("range_float", f"(150 + {_HASH} % 851) / 100.0::DOUBLE", lambda c: M.float_in_range(c, 1.5, 10.0))
+_mask("hash_boolean", f"({_HASH} % 2 = 0)", M.boolean)
+_mask(
+    "hash_uuid",
+    "substr(md5(c_name),1,8) || '-' || substr(md5(c_name),9,4) || '-' || substr(md5(c_name),13,4) || '-' || substr(md5(c_name),17,4) || '-' || substr(md5(c_name),21,12)",
+    M.uuid,
+)
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE repeat('*', length(event_type)) END AS event_type FROM events")
+def null_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"))
+    return transform(typed, [Rule("event_type", "masking")])
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(substr(event_type, 1, 1) AS BIGINT), NULL) AS number FROM events")
+def on_error_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", F.substring("event_type", 1, 1).try_cast("long").alias("number"))
+
+
+@query("SELECT event_id, '{\"k\":' || (json_extract_string(props, '$.k')) || ',\"new\":\"x\"}' AS props FROM events")
+def json_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("props", "k long").withField("new", F.lit("x"))
+    return _read(spark, sf_dir, "events").select("event_id", F.to_json(parsed).alias("props"))
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS props FROM events")
+def json_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("props", "k long").withField("gone", F.lit(1)).dropFields("gone")
+    return _read(spark, sf_dir, "events").select("event_id", F.to_json(parsed).alias("props"))
+
+
+@query("SELECT c_custkey, 'a=' || c_custkey || ',b=y' AS pairs FROM customer")
+def hstore_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.create_map(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("b"), F.lit("x"))
+    new = F.map_concat(F.map_filter(m, lambda k, v: k != "b"), F.create_map(F.lit("b"), F.lit("y")))
+    return _customers(spark, sf_dir, pairs=F.array_join(F.array_sort(F.transform(F.map_entries(new), lambda e: F.concat_ws("=", e["key"], e["value"]))), ","))
+
+
+# --- schema changes
+
+_STATEMENTS = [
+    ("CREATE TABLE", "CREATE TABLE t (id int)"),
+    ("DROP TABLE", "DROP TABLE t"),
+    ("DROP SCHEMA", "DROP SCHEMA s"),
+    ("ALTER TABLE", "ALTER TABLE t ADD COLUMN IF NOT EXISTS age int"),
+    ("ALTER TABLE", 'ALTER TABLE t ADD COLUMN "full name" text'),
+    ("ALTER TABLE", "ALTER TABLE t DROP COLUMN age;"),
+    ("ALTER TABLE", "ALTER TABLE t RENAME COLUMN a TO b;"),
+    ("ALTER TABLE", "ALTER TABLE t RENAME TO u"),
+    ("ALTER TABLE", "ALTER TABLE t ALTER COLUMN a TYPE bigint"),
+    ("ALTER TABLE", "ALTER TABLE t ADD CONSTRAINT pk PRIMARY KEY (id)"),
+    ("ALTER TABLE", "ALTER TABLE t OWNER TO me"),
+]
+_VALUES = ", ".join(f"({i}, '{tag}', '{text}')" for i, (tag, text) in enumerate(_STATEMENTS))
+_KIND = """CASE WHEN tag = 'DROP SCHEMA' THEN 'drop_schema' WHEN tag = 'DROP TABLE' THEN 'drop_table' WHEN tag = 'CREATE TABLE' THEN 'create_table'
+WHEN ddl ILIKE '%add constraint%primary key%' THEN 'add_primary_key' WHEN ddl ILIKE '%rename to%' THEN 'rename_table' WHEN ddl ILIKE '%add column%' THEN 'add_column'
+WHEN ddl ILIKE '%alter column%' THEN 'alter_column' WHEN ddl ILIKE '%drop column%' THEN 'drop_column' WHEN ddl ILIKE '%rename column%' THEN 'rename_column' END"""
+
+
+def _diffs(spark: SparkSession) -> DataFrame:
+    rows = [(i, tag, text) for i, (tag, text) in enumerate(_STATEMENTS)]
+    return ddl.diff(spark.createDataFrame(rows, "n long, tag string, ddl string"))
+
+
+@query(f"SELECT n::BIGINT AS n, {_KIND} AS kind FROM (VALUES {_VALUES}) v(n, tag, ddl)")
+def ddl_diff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark).select("n", "kind")
+
+
+@query("SELECT * FROM (VALUES (3::BIGINT, 'age', NULL), (4, 'full name', NULL), (5, 'age', NULL), (6, 'a', 'b'), (7, NULL, 'u'), (8, 'a', NULL)) v(n, \"column\", new_name)")
+def ddl_diff_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark).filter("column IS NOT NULL OR new_name IS NOT NULL").select("n", "column", "new_name")
+
+
+@query("SELECT 'public' AS schema, 't' AS \"table\", 'full name' AS \"column\" UNION ALL SELECT 'public', 't', 'b'")
+def ddl_gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("public", "t", "age")], "schema string, `table` string, `column` string")
+    return ddl.gate_violations(_diffs(spark).withColumns({"schema": F.lit("public"), "table": F.lit("t")}), rules)
+
+
+# --- positions and keys
+
+
+@query("SELECT o_orderkey, (7773397064 + o_orderkey)::BIGINT AS lsn_num FROM orders")
+def lsn_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = P.lsn_text(F.lit(7773397064) + F.col("o_orderkey"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", P.lsn_number(text).cast("long").alias("lsn_num"))
+
+
+@query(CHANGES + "SELECT max(pos) AS checkpoint FROM c")
+def checkpoint_max_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.checkpoint(_changes(spark, sf_dir), "pos")
+
+
+@query("SELECT event_type AS topic, (user_id % 4)::INT AS partition, max(event_id) AS \"offset\" FROM events GROUP BY ALL")
+def checkpoint_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws("/", "event_type", (F.col("user_id") % 4).cast("string"), F.col("event_id").cast("string"))
+    return P.topic_checkpoints(_read(spark, sf_dir, "events").select(P.parse_offset(text).alias("p")).select("p.*"))
+
+
+@query("SELECT o_orderkey, 'my\\.app' AS key FROM orders")
+def message_key_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select("o_orderkey", K.schema_key(F.lit("my.app")).alias("key"))
+
+
+@query("SELECT o_orderkey, 'app.or\\:ders' AS key FROM orders")
+def message_key_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select("o_orderkey", K.table_key(F.lit("app"), F.lit("or:ders")).alias("key"))
+
+
+@query("SELECT o_orderkey, 'app.orders:' || o_orderkey || ',' || replace(o_orderpriority || ',x', ',', '\\,') AS key FROM orders")
+def message_key_primary_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = K.primary_key(F.lit("app"), F.lit("orders"), F.col("o_orderkey"), F.concat("o_orderpriority", F.lit(",x")))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"))
+
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) + length(doc_id::VARCHAR) <= 1900")
+def message_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
+    return K.within_size(rows, "key", "text", 2000).select("doc_id")
+
+
+@query()
+def message_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select("o_orderkey", K.placement(F.col("o_orderkey").cast("string"), 12).alias("partition"))
+
+
+# --- documents, subscriptions, checks
+
+
+@query(
+    CHANGES + "SELECT 'orders_' || o_orderkey AS id, (pos + CASE WHEN action = 'I' THEN 0 ELSE 1 END)::BIGINT AS version, action = 'D' AS deleted,"
+    " CASE WHEN action <> 'D' THEN '{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\",\"_table\":\"orders\"}' END AS body FROM c"
+)
+def document_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.project(_changes(spark, sf_dir), "orders", ["o_orderkey"], ["o_custkey", "o_orderstatus"])
+
+
+@query("SELECT o_orderkey, 'orders_' || sha256(o_orderkey || '-' || o_custkey) AS id FROM orders")
+def document_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select("o_orderkey", documents.document_id("orders", F.col("o_orderkey"), F.col("o_custkey"), hashed=True).alias("id"))
+
+
+@query(
+    CHANGES + ", d AS (SELECT 'orders_' || o_orderkey AS id, pos + CASE WHEN action = 'I' THEN 0 ELSE 1 END AS version, action FROM c),"
+    " l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM d) SELECT id, version::BIGINT AS version FROM l WHERE rn = 1 AND action <> 'D'"
+)
+def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.latest_version(documents.project(_changes(spark, sf_dir), "orders", ["o_orderkey"], ["o_custkey"])).select("id", "version")
+
+
+@query("SELECT * FROM (VALUES ('int8', 'integer'), ('numeric(10,2)', 'float'), ('bool', 'boolean'), ('text[]', 'string'), ('vector(3)', 'vector'), ('timestamptz', 'datetimetz'), ('point', NULL)) v(type, search_type)")
+def search_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = [(t,) for t in ("int8", "numeric(10,2)", "bool", "text[]", "vector(3)", "timestamptz", "point")]
+    return spark.createDataFrame(types, "type string").select("type", documents.search_type(F.col("type")).alias("search_type"))
+
+
+@query("SELECT event_id, 'a' AS url FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'b' FROM events WHERE event_id % 2 = 0")
+def subscription_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.when(F.col("event_id") % 2 == 0, "I").otherwise("U").alias("action")
+    events = _read(spark, sf_dir, "events").select("event_id", F.lit("web").alias("schema"), F.col("event_type").alias("table"), action)
+    rows = [("a", [], "web", "click"), ("b", ["I"], "", ""), ("c", ["D"], "web", ""), ("d", [], "none", "")]
+    return checks.subscriptions_for(events, spark.createDataFrame(rows, "url string, types array<string>, schema string, `table` string"))
+
+
+@query("SELECT * FROM (VALUES ('t', 'email', 'error'), ('t', 'phone', 'warning')) v(\"table\", \"column\", severity)")
+def uniqueness_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("t", "email", "masking", False), ("t", "phone", "phone_number", False), ("t", "id", "encrypted_aes_siv", False), ("t", "code", "masking", True), ("t", "note", "masking", False)]
+    unique = [("t", c) for c in ("email", "phone", "id", "code")]
+    return checks.uniqueness(
+        spark.createDataFrame(rules, "`table` string, `column` string, transformer string, allow_uniqueness_loss boolean"),
+        spark.createDataFrame(unique, "`table` string, `column` string"),
+    )
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 1 AND n_nationkey % 2 = 1 AND n_nationkey % 3 = 0 THEN 'no primary key' WHEN n_nationkey % 4 = 2 THEN 'no replica identity' WHEN n_nationkey % 4 = 3 AND n_nationkey % 3 = 0 THEN 'index not usable' END AS finding FROM nation")
+def replica_identity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, "fdni")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    ok = F.col("n_nationkey") % 3 != 0
+    return _read(spark, sf_dir, "nation").select("n_nationkey", checks.replica_identity(kind, ok, ok).alias("finding"))
+
+
+@query("SELECT event_id, (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(ts))::BIGINT AS lag_us FROM events")
+def processing_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.unix_micros(F.to_timestamp(F.lit("2030-01-01")))
+    return _read(spark, sf_dir, "events").select("event_id", (now - F.unix_micros(F.col("ts").cast("timestamp"))).alias("lag_us"))
