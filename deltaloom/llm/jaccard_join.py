@@ -11,8 +11,12 @@ which both have more, both keep them. No similar pair is lost.
 Texts with equal sets are one class, and only its least id goes on. Classes that share a signature are compared exactly, but
 not all with all: in each bucket of a signature one member is compared with the rest, classes found linked become one
 component, and pairs inside a component need no more comparison. A member that has met all of its bucket leaves it; after
-HUB_ROUNDS such rounds those outside a bucket's largest component meet all others. So a large group of near copies costs
-about its size, and every pair that shares a signature has been compared or lies in one component.
+HUB_ROUNDS such rounds, or one without a link, the members still open are narrowed by prefixes: with the features in one
+order for all, the rarest among open members first, the first feature that two similar sets share is among the first
+n - ceil(t * n) + 1 of the larger and the first n - ceil(2 * t / (1 + t) * n) + 1 of the smaller, with enough features after
+it in both. Only pairs of different components that have such a feature are compared. So a large group of near copies costs about its size,
+unlike texts around one passage are not paired all with all, and every similar pair has been compared or lies in one
+component. Rarity is read from CELLS hashed counts; it steers cost, not results.
 
 Null, empty and wordless texts have an empty set and are linked with nothing. Texts of fewer words than a shingle have their
 whole sequence as one. Rows that repeat an id share a component. Other columns are not read. Ids of classes and candidates
@@ -39,6 +43,7 @@ from deltaloom.llm.shared import written
 
 BROADCAST_IDS = 2_000_000
 HUB_ROUNDS = 3
+CELLS = 1 << 18
 SAMPLE = 8000
 SAMPLE_CHARS = 20_000
 _U = np.uint64
@@ -193,6 +198,50 @@ def _linked(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFra
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, f"u {kind}, v {kind}")
 
 
+def _cell(features: np.ndarray) -> np.ndarray:
+    return (words.mix(features) % _U(CELLS)).astype(np.int64)
+
+
+def prefix(features: np.ndarray, counts: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """The features of a set that come first, rarest first by ``counts`` of cells: one of them is in every similar set's."""
+    n = len(features)
+    length = n + part * -n // whole + 1
+    return features[np.lexsort((features, counts[_cell(features)]))[:length]]
+
+
+def _by_prefix(members: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (id, component) of different components that share a feature of their prefixes."""
+    own = written(sets.join(members, "id"), "members")
+
+    def count(batches):
+        seen = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                np.add.at(seen, _cell(np.frombuffer(s.as_buffer(), dtype=_U)), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["cell", "times"])
+
+    cells = own.select("features").mapInArrow(count, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
+    counts = np.zeros(CELLS, np.int64)
+    for cell, times in cells.collect():  # CELLS rows at most
+        counts[cell] = times
+
+    def head(got: dict[str, list]) -> dict[str, list]:
+        heads = [prefix(np.frombuffer(s, dtype=_U), counts, part, whole).view(np.int64) for s in got["features"]]
+        return {"id": got["id"], "component": got["component"], "n": got["n"], "heads": heads}
+
+    kind = members.schema["id"].dataType.simpleString()
+    spelled = map_rows(own, ["id", "component", "n", "features"], f"id {kind}, component {kind}, n long, heads array<long>", head, 64)
+    rows = written(spelled.select("id", "component", "n", F.posexplode("heads").alias("at", "feature")), "prefixes")
+    a, b = (rows.select("feature", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at"))) for x in "ab")
+    both = part + whole
+    a = a.filter(f"at_a <= n_a - ({2 * part} * n_a + {both - 1}) div {both}")
+    ordered = f"(n_a < n_b OR n_a = n_b AND id_a < id_b) AND n_a * {whole} >= n_b * {part}"
+    enough = f"least(n_a - at_a, n_b - at_b) * {both} >= {part} * (n_a + n_b)"
+    met = a.join(b, "feature").filter(f"component_a <> component_b AND {ordered} AND {enough}")
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def _in_components(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """``buckets`` (sig, id) still to compare: with the component of each member, without buckets of one component."""
     of = buckets.join(found.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -242,29 +291,33 @@ def near_duplicates(
     spelled = map_rows(_only(docs, candidates, "left_semi"), ["id", "text"], f"id {kind}, n long, features binary", spell, 64)
     sets = written(spelled, "sets")
 
-    edges = None
+    edges, last = None, False
     found = df.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     open_ = buckets.withColumn("component", F.col("id"))
     for round_ in itertools.count():
         open_ = written(open_, "open")
         if open_.isEmpty():
             break
-        sizes = open_.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("most")).select("sig", F.col("most.component").alias("main"))
-        if round_ == 0:
-            hubs = open_.groupBy("sig").agg(F.min("id").alias("hub"), F.min("id").alias("hub_component"))
+        if last:
+            pairs = _by_prefix(open_.select("id", "component").distinct(), sets, part, whole)
         else:
-            outside = open_.join(main, "sig").filter("component <> main")
-            hubs = outside.select("sig", F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-            if round_ < HUB_ROUNDS:
-                hubs = hubs.groupBy("sig").agg(F.min(F.struct("hub", "hub_component")).alias("h")).select("sig", "h.hub", "h.hub_component")
-        met = open_.join(hubs, "sig").filter("component <> hub_component" if round_ else "id <> hub")
-        pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+            if round_ == 0:
+                hubs = open_.groupBy("sig").agg(F.min("id").alias("hub"), F.min("id").alias("hub_component"))
+            else:
+                sizes = open_.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
+                main = sizes.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("most")).select("sig", F.col("most.component").alias("main"))
+                outside = open_.join(main, "sig").filter("component <> main").groupBy("sig").agg(F.min(F.struct("id", "component")).alias("h"))
+                hubs = outside.select("sig", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"))
+            met = open_.join(hubs, "sig").filter("component <> hub_component" if round_ else "id <> hub")
+            pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
         linked = written(_linked(pairs, sets, part, whole), "linked")
-        edges = linked if edges is None else edges.unionByName(linked)
-        found = components(edges)
-        if round_ >= HUB_ROUNDS:
+        none = linked.isEmpty()
+        if not none:
+            edges = linked if edges is None else edges.unionByName(linked)
+            found = components(edges)
+        if last:
             break
+        last = none or round_ + 1 >= HUB_ROUNDS
         rest = open_.join(hubs.select("sig", F.col("hub").alias("id")), ["sig", "id"], "left_anti")
         open_ = _in_components(rest.select("sig", "id"), found)
 
