@@ -4,10 +4,13 @@ The model mixes maximum-likelihood estimates of the word given the one before, o
 weights depend on the bucket of the context's frequency (its binary logarithm) and are learned by expectation-maximisation
 on held-out counts: the counts of training documents with each token's own occurrence deleted.
 
-Counts cover every training document. Documents look their words and word pairs up in packed batches: keys of 64 hash bits are
-dealt to buckets of about BUCKET keys, each bucket counts its keys over the training documents and sends every document the
-counts of its own keys, in the order in which it asked. Keys that a sample shows to be frequent (HOT at most) are counted
-before the shuffle and known to every task, so no bucket fills with one key; the sample steers cost, not results.
+Counts cover every training document. Documents are dealt by row to batches of about BATCH tokens in a written table, so that
+repeated rows spread and a batch is the same in every reading; a batch looks the
+distinct words and word pairs of its documents up together: keys of 64 hash bits are dealt to buckets of about BUCKET keys,
+a batch sends each bucket one row with its keys and their training occurrences, the bucket adds them up and sends back the
+counts, in the order in which the batch asked. Documents from which weights are learned have batches of their own. Keys that
+a sample shows to be frequent (HOT at most) are counted before the shuffle and known to every task, so no bucket fills with
+one key; the sample steers cost, not results.
 
 Null and empty texts are one end token. Rows that repeat id and text each count as a document and get equal scores. A null id
 is a training row. An empty table gives no rows; without training tokens every estimate but the uniform one is 0.
@@ -29,6 +32,7 @@ from deltaloom.llm.shared import written
 from deltaloom.llm.substring_dedup import with_rid
 
 BUCKET = 3_000_000
+BATCH = 1_000_000
 HOT = 65_536
 SAMPLE = 4_000
 SAMPLE_CHARS = 20_000
@@ -51,12 +55,35 @@ def keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token & ~_U(1), before & ~_U(1), pair
 
 
-def _asked(data: bytes, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a document that are not hot, sorted by bucket order (that is, by value), and how often each occurs."""
-    token, _, pair = keys(data)
-    key, times = np.unique(np.concatenate((token, pair, _START & ~_U(1))), return_counts=True)
-    cold = ~_in(key, hot)[0]
-    return key[cold], times[cold]
+class Batch:
+    """Keys of the documents of a batch: ``cold`` has those that are not hot, sorted by bucket (that is, by value)."""
+
+    def __init__(self, texts: pa.Array, hot: np.ndarray):
+        found = [keys(t.as_py() or b"") for t in texts.cast(pa.large_binary())]
+        self.lengths = np.array([len(f[0]) for f in found])
+        self.token, _, self.pair = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.concatenate((self.token, self.pair))
+        self.key, self.place = np.unique(both, return_inverse=True)
+        self.warm, self.warm_at = _in(self.key, hot)
+        self.cold = self.key[~self.warm]
+
+    def training(self, train: list[bool]) -> np.ndarray:
+        """Occurrences of each cold key in training documents."""
+        learn = np.tile(np.array(train, dtype=bool).repeat(self.lengths), 2)
+        return np.bincount(self.place[learn], minlength=len(self.key))[~self.warm]
+
+    def counts(self, replies: pa.Table, hot_counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of each token and each pair."""
+        edges = np.searchsorted(_bucket(self.cold, buckets), np.arange(buckets + 1))
+        cold = np.zeros(len(self.cold), dtype=np.int64)
+        for b, c in zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True):
+            cold[edges[b] : edges[b + 1]] = unpack(c, int(edges[b + 1] - edges[b]))
+        of = np.zeros(len(self.key), dtype=np.int64)
+        of[~self.warm] = cold
+        if len(hot_counts):
+            of[self.warm] = hot_counts[self.warm_at[self.warm]]
+        n = len(self.token)
+        return of[self.place[:n]], of[self.place[n:]]
 
 
 def _in(key: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,30 +146,24 @@ def _count_hot(hot: np.ndarray) -> Callable:
     return run
 
 
-_ASKED = schema("bucket int, rid long, train boolean, keys binary, times binary")
-_ANSWERS = schema("rid long, bucket int, counts binary, new_words long")
+_ASKED = schema("bucket int, batch long, keys binary, times binary")
+_ANSWERS = schema("batch long, bucket int, counts binary, new_words long")
 
 
 def _ask(hot: np.ndarray, buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(docs: pa.Table) -> pa.Table:
+        batch = Batch(docs.column("text").combine_chunks(), hot)
+        times = batch.training([not h for h in docs.column("held_out").to_pylist()])
+        packed = np.ascontiguousarray((batch.cold & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+        bucket = _bucket(batch.cold, buckets)
+        edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        spans = list(zip(edges, edges[1:]))
+        columns = [
+            [int(bucket[a]) for a, _ in spans], [docs.column("batch")[0].as_py()] * len(spans),
+            [packed[6 * a : 6 * z] for a, z in spans], [pack(times[a:z]) for a, z in spans],
+        ]
         to = to_arrow_schema(_ASKED)
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            made: list[list] = [[] for _ in to]
-            for rid, text, train in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
-                key, times = _asked(text.as_py() or b"", hot)
-                packed = np.ascontiguousarray((key & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                bucket = _bucket(key, buckets)
-                edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(key)])).tolist() if len(key) else [0]
-                for a, z in zip(edges, edges[1:]):
-                    once = not train or int(times[a:z].max()) == 1
-                    row = (int(bucket[a]), rid, train, packed[6 * a : 6 * z], None if once else pack(times[a:z]))
-                    for column, value in zip(made, row, strict=True):
-                        column.append(value)
-                if len(made[0]) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, to, strict=True)], schema=to)
-                    made = [[] for _ in to]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, to, strict=True)], schema=to)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to, strict=True)], schema=to)
 
     return run
 
@@ -161,29 +182,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        train = table.column("train").to_pylist()
         data, times = table.column("keys").to_pylist(), table.column("times").to_pylist()
         key, sizes = _unpack_keys(data)
-        weight = np.ones(len(key), dtype=np.int64)
-        ends = np.cumsum(sizes)
-        for i, t in enumerate(times):
-            if t is not None:
-                weight[ends[i] - sizes[i] : ends[i]] = unpack(t, int(sizes[i]))
-        learn = np.array(train, dtype=bool).repeat(sizes)
-        order = np.argsort(key[learn], kind="stable")
-        ranked = key[learn][order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.empty(0, np.int64)
-        known = ranked[first]
-        total = np.add.reduceat(weight[learn][order], first) if len(first) else np.empty(0, np.int64)
-        there, at = _in(key, known)
-        counts = np.where(there, total[at], 0) if len(total) else np.zeros(len(key), np.int64)
-        start = _START[0] & ~_U(1) & _LOW
-        fresh = int(np.count_nonzero((known & _U(1)) == 0)) - int(start in known)
-        rids, bucket = table.column("rid"), table.column("bucket")
+        weight = np.concatenate([unpack(x, n) for x, n in zip(times, sizes.tolist(), strict=True)])
+        known, place = np.unique(key, return_inverse=True)
+        total = np.bincount(place, weight).astype(np.int64)  # exact below 2**53
+        counts, ends = total[place], np.cumsum(sizes)
         made = [pack(counts[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         new = np.zeros(len(made), dtype=np.int64)
-        new[0] = fresh
-        columns = [rids.combine_chunks(), bucket.combine_chunks(), pa.array(made, pa.binary()), pa.array(new)]
+        new[0] = np.count_nonzero(((known & _U(1)) == 0) & (total > 0))
+        columns = [table.column("batch").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(made, pa.binary()), pa.array(new)]
         yield from pa.Table.from_arrays(columns, schema=to).to_batches(max_chunksize=16_384)
 
     held: list[pa.RecordBatch] = []
@@ -203,29 +211,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Counts:
-    """What the scorer knows of one document: counts of its tokens, contexts and pairs."""
-
-    def __init__(self, data: bytes, answers: list[dict] | None, hot: np.ndarray, hot_counts: np.ndarray, documents: int):
-        token, before, pair = keys(data)
-        key, _ = _asked(data, hot)
-        by_bucket = {a["bucket"]: a["counts"] for a in answers or ()}
-        counts = np.zeros(len(key), dtype=np.int64)
-        if len(key):
-            bucket = _bucket(key, self.buckets)
-            for b, c in by_bucket.items():
-                place = np.flatnonzero(bucket == b)
-                counts[place] = unpack(c, len(place))
-
-        def of(k: np.ndarray) -> np.ndarray:
-            warm, at = _in(k, hot)
-            cold, cold_at = _in(k, key)
-            out = np.where(cold, counts[cold_at], 0) if len(counts) else np.zeros(len(k), np.int64)
-            return np.where(warm, hot_counts[at], out) if len(hot_counts) else out
+    """Training counts of one document's tokens, contexts and pairs."""
 
-        self.token, self.pair = of(token), of(pair)
-        self.context = np.concatenate(([documents], self.token[:-1]))
-
-    buckets = 1
+    def __init__(self, token: np.ndarray, pair: np.ndarray, documents: int):
+        self.token, self.pair = token, pair
+        self.context = np.concatenate(([documents], token[:-1]))
 
 
 def parts(c: Counts, n: int, deleted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +252,7 @@ def learn_weights(bins: list[tuple[int, int, int, int]], vocabulary: int, rounds
     return out
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET, batch_tokens: int = BATCH) -> DataFrame:
     """``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row."""
     named = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = with_rid(named, "id", "text").withColumn("held_out", held_out("id")).select("id", "rid", "text", "held_out")
@@ -271,53 +261,53 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
     place = {r["place"]: r["n"] for r in sums.collect()}  # one row for each hot key at most
     hot_counts = np.array([place.get(i, 0) for i in range(len(hot))], dtype=np.int64)
     n, documents = place.get(-1, 0), place.get(-2, 0)
-    buckets = max(1, -(-2 * place.get(-3, 0) // bucket_keys))
-    asked = docs.select("rid", "text", ~F.col("held_out")).mapInArrow(_ask(hot, buckets), _ASKED)
+    tokens = place.get(-3, 0)
+    buckets = max(1, -(-2 * tokens // bucket_keys))
+    batches = max(1, -(-tokens // batch_tokens))
+    is_deleted = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 3, F.lit(True))
+    dealt = F.pmod(F.xxhash64("rid", F.monotonically_increasing_id()), F.when(is_deleted, F.lit(max(1, batches // 7))).otherwise(F.lit(batches)))
+    docs = written(docs.select("id", "text", "held_out", (2 * dealt + is_deleted.cast("long")).alias("batch")), "dealt")
+    asked = docs.select("batch", "text", "held_out").groupBy("batch").applyInArrow(_ask(hot, buckets), _ASKED)
     answers = written(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _ANSWERS), "answers")
     new_words = answers.agg(F.sum("new_words")).first()[0] or 0
     vocabulary = int(new_words) + int(np.count_nonzero(hot_counts[(hot & _U(1)) == 0])) if len(hot) else int(new_words)
-
-    def answered(some: DataFrame, replies: DataFrame) -> DataFrame:
-        lists = replies.groupBy(F.col("rid").alias("row")).agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
-        return some.join(lists, some["rid"] == lists["row"], "left").select("id", "held_out", "text", "answers")
-
-    def counts_of(batch: pa.RecordBatch) -> Iterator[Counts]:
-        Counts.buckets = buckets
-        texts = batch.column(2).cast(pa.large_binary())
-        for text, replies in zip(texts, batch.column(3), strict=True):
-            yield Counts(text.as_py() or b"", replies.as_py(), hot, hot_counts, documents)
-
-    def bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [np.zeros(0, np.int64)]
-            for c in counts_of(batch):
-                bucket, pair, word = parts(c, n, deleted=True)
-                seen.append((bucket << 40) + ((_bin(pair) + 1) << 20) + _bin(word) + 1)
-            code, times = np.unique(np.concatenate(seen), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], names=["code", "times"])
-
-    is_deleted = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 3, F.lit(True))
-    some = docs.filter(is_deleted)
-    binned = answered(some, answers).mapInArrow(bin_counts, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
+    replies = answers.select("batch", "bucket", "counts")
+
+    def counts_of(some: pa.Table, answered: pa.Table) -> Iterator[Counts]:
+        batch = Batch(some.column("text").combine_chunks(), hot)
+        token, pair = batch.counts(answered, hot_counts, buckets)
+        ends = np.cumsum(batch.lengths)
+        for a, z in zip((ends - batch.lengths).tolist(), ends.tolist(), strict=True):
+            yield Counts(token[a:z], pair[a:z], documents)
+
+    def bin_counts(some: pa.Table, answered: pa.Table) -> pa.Table:
+        seen = [np.zeros(0, np.int64)]
+        for c in counts_of(some, answered):
+            bucket, pair, word = parts(c, n, deleted=True)
+            seen.append((bucket << 40) + ((_bin(pair) + 1) << 20) + _bin(word) + 1)
+        code, times = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.table({"code": code, "times": times})
+
+    own, theirs = docs.filter(is_deleted).groupBy("batch"), replies.filter("batch % 2 = 1").groupBy("batch")
+    binned = own.cogroup(theirs).applyInArrow(bin_counts, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
     split = [(r[0] >> 40, ((r[0] >> 20) & 0xFFFFF) - 1, (r[0] & 0xFFFFF) - 1, r[1]) for r in binned.collect()]  # bounded by the bins
     weights = learn_weights(sorted(split), vocabulary)
 
-    def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for c in counts_of(batch):
-                bucket, pair, word = parts(c, n, deleted=False)
-                w = weights[bucket]
-                p = w[:, 0] * pair + w[:, 1] * word + w[:, 2] / (vocabulary + 1)
-                base = np.log10((c.token + 1) / (n + vocabulary + 1))
-                rows.append((len(word), int(np.count_nonzero(c.token)), n, float(base.sum()), float(np.log10(p).sum())))
-            columns = [pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.float64()) for i in range(5)]
-            names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
+    def score_rows(some: pa.Table, answered: pa.Table) -> pa.Table:
+        rows = []
+        for c in counts_of(some, answered):
+            bucket, pair, word = parts(c, n, deleted=False)
+            w = weights[bucket]
+            p = w[:, 0] * pair + w[:, 1] * word + w[:, 2] / (vocabulary + 1)
+            base = np.log10((c.token + 1) / (n + vocabulary + 1))
+            rows.append((len(word), int(np.count_nonzero(c.token)), n, float(base.sum()), float(np.log10(p).sum())))
+        columns = [pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.float64()) for i in range(5)]
+        names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.Table.from_arrays([some.column("id"), some.column("held_out"), *columns], names=names)
 
     kind = docs.schema["id"].dataType.simpleString()
     out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answered(docs, answers).mapInArrow(score_rows, out).withColumnRenamed("id", id_col)
+    return docs.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(score_rows, out).withColumnRenamed("id", id_col)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
