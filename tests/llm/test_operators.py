@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import duckdb
@@ -215,6 +216,29 @@ def test_jaccard_join(spark, odd, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize(("k", "part"), [(3, 90), (5, 80), (1, 90)])
+def test_jaccard_join_around_the_threshold(spark, k, part):
+    """Groups of texts around a core, their similarities on both sides of the threshold, against all pairs."""
+    made, texts = random.Random(3), []
+    for g, size in enumerate((30, 60, 150)):
+        for _ in range(40):
+            t = [f"g{g}w{i}" for i in range(size)]
+            for _ in range(made.randint(0, 4)):
+                t[made.randrange(size)] = f"y{g}{made.randrange(4)}" if made.random() < 0.4 else f"x{made.random()}"
+            texts.append(" ".join(t))
+    made.shuffle(texts)
+    sets = [{tuple(w[a : a + k]) for a in range(len(w) - k + 1)} for w in map(str.split, texts)]
+    least = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if least[a] != least[b] and 100 * both >= part * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=k, part=part)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == {i: (len(s), least[i]) for i, s in enumerate(sets)}
+
+
 def test_partenum_loses_no_pair():
     rng = np.random.default_rng(5)
     for percent in (90, 80):
