@@ -3,8 +3,9 @@
 A window is WINDOW consecutive words. Every word inside a window whose words also start anywhere else is removed.
 
 Suffixes are taken at anchors: positions whose PREFIX-word hash is the least of some window around them, so each window holds
-an anchor at a place that its words alone decide, and equal windows hold the same one. Anchors whose prefix occurs once are
-dropped. The others are dealt by prefix into groups that fit in memory; a prefix of more than GROUP suffixes is split into
+an anchor at a place that its words alone decide, and equal windows hold the same one. The anchors of a
+text with one prefix (many in periodic text) are one row with packed positions, and those whose surroundings are the same words
+are one suffix that counts as several. Anchors whose prefix occurs once are dropped. The others are dealt by prefix into groups that fit in memory; a prefix of more than GROUP suffixes is split into
 several. For each group the suffixes are sorted, and the lengths of common prefixes of neighbours give the tree: the nodes of
 depth d are the runs of neighbours that agree in d words. A node is deep enough for a window that reaches l words left of the
 anchor if d = WINDOW - l, and the window repeats if two of the node's leaves also agree in their l words on the left. The
@@ -59,35 +60,63 @@ def anchors(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.nda
 
 
 def _batch(columns: list[np.ndarray | list], to: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to, strict=True)], schema=to)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, to, strict=True)], schema=to)
 
 
-_ANCHORS = schema("prefix long, rid long, pos int")
-_SUFFIXES = schema("prefix long, part int, split boolean, rid long, pos int, before int, words binary")
-_MARKS = schema("rid long, pos int, mask long, window_hash long, times int")
+#: ``pos`` holds positions as little-endian 32-bit integers, ``n`` of them; ``many`` says that there are several.
+_ANCHORS = schema("prefix long, rid long, n int, pos binary")
+_SUFFIXES = schema("prefix long, part int, split boolean, rid long, pos binary, many boolean, before int, words binary")
+_MARKS = schema("rid long, pos binary, mask long, window_hash long, times int")
+_POS = np.dtype("<i4")
+_AT_ONCE = 1 << 20
+
+
+def _by_prefix(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct prefixes of one text's anchors, the number of positions of each, and all positions in that order."""
+    order = np.argsort(g, kind="stable")
+    prefixes, counts = np.unique(g, return_counts=True)
+    return prefixes.view(np.int64), counts, at[order].astype(_POS)
+
+
+def _packed(counts: np.ndarray, positions: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(counts))) * _POS.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(positions.tobytes())])
 
 
 def _find_anchors(window: int, prefix: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = to_arrow_schema(_ANCHORS)
+
+        def flush(made: list[tuple]) -> pa.RecordBatch:
+            prefixes, rids, counts, positions = (np.concatenate(c) for c in zip(*made, strict=True))
+            return _batch([prefixes, rids, counts.astype(np.int32), _packed(counts, positions)], to)
+
         for batch in batches:
             rids = batch.column(0).to_pylist()
             texts = batch.column(1).cast(pa.large_binary())
             made: list[tuple] = []
+            held = 0
             for rid, text in zip(rids, texts, strict=True):
-                at, g = anchors(words.hash_words(text.as_py() or b"")[0], window, prefix)
-                made.append((g.view(np.int64), np.full(len(at), rid, np.int64), at.astype(np.int32)))
-                if len(made) == 512:
-                    yield _batch([np.concatenate(c) for c in zip(*made, strict=True)], to)
-                    made = []
+                prefixes, counts, positions = _by_prefix(*anchors(words.hash_words(text.as_py() or b"")[0], window, prefix))
+                made.append((prefixes, np.full(len(prefixes), rid, np.int64), counts, positions))
+                held += len(positions)
+                if len(made) == 512 or held >= _AT_ONCE:
+                    yield flush(made)
+                    made, held = [], 0
             if made:
-                yield _batch([np.concatenate(c) for c in zip(*made, strict=True)], to)
+                yield flush(made)
 
     return run
 
 
+def _part(rid: int, pos: int, parts: int) -> int:
+    """One of ``parts`` parts of a split prefix."""
+    return int(words.mix(words.mix(np.array([rid], np.int64).view(_U)) + _U(pos))[0] % _U(parts)) if parts > 1 else 0
+
+
 def _cut_suffixes(rid: int, text: int, lists: int, window: int, prefix: int) -> Callable:
-    """From rows with rid, text and lists of anchors at those places, the words around each anchor."""
+    """From rows with rid, text and lists of anchors at those places, the words around each anchor; anchors of a text with
+    equal surroundings are one suffix."""
     left = window - prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +128,16 @@ def _cut_suffixes(rid: int, text: int, lists: int, window: int, prefix: int) ->
                 h, _, _ = words.hash_words(texts[i].as_py() or b"")
                 packed = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 8 - _BYTES :]).tobytes()
                 row = batch.column(rid)[i].as_py()
-                for a in batch.column(lists)[i].as_py():
-                    low, high = max(0, a["pos"] - left), min(len(h), a["pos"] + window)
-                    cut = packed[low * _BYTES : high * _BYTES]
-                    for column, value in zip(made, (a["prefix"], a["part"], a["split"], row, a["pos"], a["pos"] - low, cut), strict=True):
-                        column.append(value)
+                for a in {a["prefix"]: a for a in batch.column(lists)[i].as_py()}.values():
+                    around: dict[tuple[int, bytes], list[int]] = {}
+                    for pos in np.frombuffer(a["pos"], _POS).tolist():
+                        low, high = max(0, pos - left), min(len(h), pos + window)
+                        around.setdefault((pos - low, packed[low * _BYTES : high * _BYTES]), []).append(pos)
+                    for (before, cut), at in around.items():
+                        part = _part(row, at[0], a["parts"])
+                        values = (a["prefix"], part, a["parts"] > 1, row, np.array(at, _POS).tobytes(), len(at) > 1, before, cut)
+                        for column, value in zip(made, values, strict=True):
+                            column.append(value)
                 if len(made[0]) >= 4096:
                     yield _batch(made, to)
                     made = [[] for _ in to]
@@ -129,14 +163,15 @@ def _unpack(cuts: list[bytes], before: np.ndarray, window: int, prefix: int) ->
 
 
 def repeats(
-    group: np.ndarray, split: np.ndarray, before: np.ndarray, cuts: list[bytes], window: int, prefix: int
+    group: np.ndarray, split: np.ndarray, many: np.ndarray, before: np.ndarray, cuts: list[bytes], window: int, prefix: int
 ) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """For each suffix the mask of its repeated windows (bit l: the window that begins l words before the anchor), and for
-    split groups (suffix, l, window hash, times) once for each distinct window, times being 1 or 2 (or more)."""
+    split groups (suffix, l, window hash, times) once for each distinct window, times being 1 or 2 (or more). The windows of a suffix that
+    stands for many repeat by themselves."""
     left, right, after = _unpack(cuts, before, window, prefix)
     order = np.lexsort((*right.T[::-1], group))
     g, right_, left_ = group[order], right[order], left[order]
-    before_, after_, split_ = before[order], after[order], split[order]
+    before_, after_, split_, many_ = before[order], after[order], split[order], many[order]
     same = np.concatenate([(g[1:] == g[:-1])[:, None], right_[1:] == right_[:-1]], axis=1)
     common = np.concatenate(([-1], np.where(same[:, 0], np.logical_and.accumulate(same, axis=1).sum(axis=1) - 1, -1)))
     mask = np.zeros(len(g), dtype=np.int64)
@@ -149,14 +184,15 @@ def repeats(
         node = np.cumsum(common < depth).astype(_U)
         whole = np.flatnonzero((before_ >= l) & (after_ >= depth))
         key = words.mix(reach[whole] ^ words.mix(node[whole]))
-        again = words.repeated(key)
+        again = words.repeated(key) | many_[whole]
         mask[whole[again]] |= 1 << l
         if split_[whole].any():
             part = whole[split_[whole]]
             content = reach[part]
             for j in range(depth):
                 content = words.mix(content + right_[part, j]) + _U(j)
-            _, first, times = np.unique(words.mix(content ^ words.mix(g[part].astype(_U))), return_index=True, return_counts=True)
+            _, first, of, times = np.unique(words.mix(content ^ words.mix(g[part].astype(_U))), return_index=True, return_inverse=True, return_counts=True)
+            times = times + np.bincount(of, weights=many_[part]).astype(np.int64)
             for i, t in zip(first.tolist(), times.tolist(), strict=True):
                 named.append((int(order[part[i]]), l, int(content[i].astype(np.int64)), min(t, 2)))
     out = np.zeros_like(mask)
@@ -174,17 +210,18 @@ def _grow_trees(window: int, prefix: int) -> Callable:
             table = pa.Table.from_batches(held).combine_chunks()
             keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in ("prefix", "part")])
             group = np.cumsum(np.concatenate(([0], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-            rid, pos, before = (table.column(k).to_numpy() for k in ("rid", "pos", "before"))
-            split = table.column("split").to_numpy(zero_copy_only=False)
-            mask, named = repeats(group, split, before.astype(np.int64), table.column("words").to_pylist(), window, prefix)
+            rid, before = (table.column(k).to_numpy() for k in ("rid", "before"))
+            split, many = (table.column(k).to_numpy(zero_copy_only=False) for k in ("split", "many"))
+            pos = pa.array(table.column("pos").to_pylist(), pa.binary())
+            mask, named = repeats(group, split, many, before.astype(np.int64), table.column("words").to_pylist(), window, prefix)
             hit = np.flatnonzero(mask)
             none = [None] * len(hit)
-            yield _batch([rid[hit], pos[hit], mask[hit], none, none], to)
+            yield _batch([rid[hit], pos.take(pa.array(hit)), mask[hit], none, none], to)
             for at in range(0, len(named), 1 << 16):
                 some = named[at : at + (1 << 16)]
-                who = np.array([x[0] for x in some])
+                who = np.array([x[0] for x in some], dtype=np.int64)
                 bit = np.array([1 << x[1] for x in some], dtype=np.int64)
-                yield _batch([rid[who], pos[who], bit, [x[2] for x in some], [x[3] for x in some]], to)
+                yield _batch([rid[who], pos.take(pa.array(who)), bit, [x[2] for x in some], [x[3] for x in some]], to)
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -210,13 +247,14 @@ def _grow_trees(window: int, prefix: int) -> Callable:
 
 
 def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
-    """``docs``, which has a column ``rid``, with ``marks``: an array of (pos, mask) of its anchors with repeated windows, or null."""
+    """``docs``, which has a column ``rid``, with ``marks``: an array of (pos, mask) of its anchors with repeated windows, or null.
+
+    A prefix has a row for each text, however often the text repeats it; ``often`` is written so that both sides of the join
+    are plain tables, of which a hot prefix can be split at run time."""
     found = written(docs.select("rid", text_col).mapInArrow(_find_anchors(window, prefix), _ANCHORS), "anchors")
-    often = found.groupBy(F.col("prefix").alias("twice")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    parts = F.ceil(F.col("times") / group)
-    kept = found.join(often, found["prefix"] == often["twice"]).select(
-        "rid", F.struct("pos", "prefix", F.pmod(F.xxhash64("rid", "pos"), parts).cast("int").alias("part"), (parts > 1).alias("split")).alias("anchor")
-    )
+    often = written(found.groupBy(F.col("prefix").alias("twice")).agg(F.sum("n").alias("times")).filter("times > 1"), "often")
+    parts = F.ceil(F.col("times") / group).cast("int").alias("parts")
+    kept = found.join(often, found["prefix"] == often["twice"]).select("rid", F.struct("prefix", "pos", parts).alias("anchor"))
     lists = written(kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors")), "lists")
     near = docs.join(lists, docs["rid"] == lists["__rid"])
     places = (near.columns.index("rid"), near.columns.index(text_col), near.columns.index("anchors"))
@@ -237,12 +275,10 @@ def keep_words(data: bytes, marks: list[dict] | None, window: int) -> tuple[int,
     if not marks:
         return len(found), 0, b" ".join(found)
     starts = np.zeros(len(found), dtype=bool)
-    for m in marks:
-        mask, pos = m["mask"], m["pos"]
-        while mask:
-            low = mask & -mask
-            starts[pos - low.bit_length() + 1] = True
-            mask ^= low
+    pos = np.frombuffer(b"".join([m["pos"] for m in marks]), _POS)
+    mask = np.repeat(np.array([m["mask"] for m in marks], np.int64), [len(m["pos"]) // _POS.itemsize for m in marks])
+    for l in range(int(mask.max()).bit_length()):
+        starts[pos[(mask >> l & 1).astype(bool)] - l] = True
     gone = words.covered(starts, window, len(found))
     return len(found), int(gone.sum()), b" ".join(found[i] for i in np.flatnonzero(~gone).tolist())
 

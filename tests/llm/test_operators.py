@@ -279,6 +279,23 @@ def test_substring_dedup(spark, odd, none, group):
     assert substring_dedup.without_repeats(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("group", [16_384, 3])
+def test_substring_dedup_periodic_texts(spark, group):
+    """Runs of few words, inside one text and across texts and repeated rows, against every window."""
+    made = random.Random(9)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(made.randint(1, 4)):
+            period = [f"p{made.randrange(3)}" for _ in range(made.randint(1, 12))]
+            parts += (period * 40)[: made.randint(1, 90)] + [f"u{made.random()}"] * made.randrange(2)
+        texts.append(" ".join(parts))
+    texts += [" ".join(made.choice("ab") for _ in range(300)) for _ in range(10)] + [None, ""]
+    rows = list(enumerate(texts))
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows + rows[:2], "doc_id long, text string").repartition(5), group=group)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == _without_repeats(texts + texts[:2], 35)
+
+
 @pytest.mark.parametrize("bucket_keys", [3_000_000, 500])
 def test_lm_scoring(spark, odd, none, bucket_keys):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
