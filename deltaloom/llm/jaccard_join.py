@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from deltaloom.llm import words
 from deltaloom.llm.arrow import map_rows
 from deltaloom.llm.components import components
-from deltaloom.llm.shared import written
+from deltaloom.llm.shared import Scratch, written
 
 BROADCAST_IDS = 2_000_000
 HUB_ROUNDS = 3
@@ -209,9 +209,9 @@ def prefix(features: np.ndarray, counts: np.ndarray, part: int, whole: int) -> n
     return features[np.lexsort((features, counts[_cell(features)]))[:length]]
 
 
-def _by_prefix(members: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+def _by_prefix(members: DataFrame, sets: DataFrame, part: int, whole: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of ``members`` (id, component) of different components that share a feature of their prefixes."""
-    own = written(sets.join(members, "id"), "members")
+    own = scratch.written(sets.join(members, "id"), "members")
 
     def count(batches):
         seen = np.zeros(CELLS, np.int64)
@@ -232,7 +232,7 @@ def _by_prefix(members: DataFrame, sets: DataFrame, part: int, whole: int) -> Da
 
     kind = members.schema["id"].dataType.simpleString()
     spelled = map_rows(own, ["id", "component", "n", "features"], f"id {kind}, component {kind}, n long, heads array<long>", head, 64)
-    rows = written(spelled.select("id", "component", "n", F.posexplode("heads").alias("at", "feature")), "prefixes")
+    rows = scratch.written(spelled.select("id", "component", "n", F.posexplode("heads").alias("at", "feature")), "prefixes")
     a, b = (rows.select("feature", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at"))) for x in "ab")
     both = part + whole
     a = a.filter(f"at_a <= n_a - ({2 * part} * n_a + {both - 1}) div {both}")
@@ -272,11 +272,12 @@ def near_duplicates(
         sets = [features(t) for t in got["text"]]
         return {"id": got["id"], "n": [len(s) for s in sets], "features": [s.tobytes() for s in sets]}
 
+    scratch = Scratch()
     classes = written(map_rows(docs, ["id", "text"], f"id {kind}, n long, key binary", classify), "classes")
     least = classes.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_rows"))
     firsts = written(least.select("key", "first", "n_rows"), "firsts")
     copied = classes.join(firsts.filter("n_rows > 1"), "key").filter("id <> first").select("id").distinct()
-    copies = written(copied.join(firsts.select(F.col("first").alias("id")), "id", "left_anti"), "copies")
+    copies = scratch.written(copied.join(firsts.select(F.col("first").alias("id")), "id", "left_anti"), "copies")
 
     sample = firsts.orderBy("key").limit(SAMPLE).select(F.col("first").alias("id"))
     spelled = map_rows(_first_texts(docs, sample), ["id", "text"], f"id {kind}, n long, features binary", spell, 64)
@@ -286,20 +287,20 @@ def near_duplicates(
     rows = signed.select("id", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig")
     shared = rows.withColumns({"low": F.min("id").over(bucket), "high": F.max("id").over(bucket)}).filter("low <> high")
-    buckets = written(shared.select("sig", "id"), "buckets").distinct()
-    candidates = written(buckets.select("id").distinct(), "candidates")
+    buckets = scratch.written(shared.select("sig", "id"), "buckets").distinct()
+    candidates = scratch.written(buckets.select("id").distinct(), "candidates")
     spelled = map_rows(_only(docs, candidates, "left_semi"), ["id", "text"], f"id {kind}, n long, features binary", spell, 64)
-    sets = written(spelled, "sets")
+    sets = scratch.written(spelled, "sets")
 
     edges, last = None, False
     found = df.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     open_ = buckets.withColumn("component", F.col("id"))
     for round_ in itertools.count():
-        open_ = written(open_, "open")
+        open_ = scratch.written(open_, "open")
         if open_.isEmpty():
             break
         if last:
-            pairs = _by_prefix(open_.select("id", "component").distinct(), sets, part, whole)
+            pairs = _by_prefix(open_.select("id", "component").distinct(), sets, part, whole, scratch)
         else:
             if round_ == 0:
                 hubs = open_.groupBy("sig").agg(F.min("id").alias("hub"), F.min("id").alias("hub_component"))
@@ -310,7 +311,7 @@ def near_duplicates(
                 hubs = outside.select("sig", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"))
             met = open_.join(hubs, "sig").filter("component <> hub_component" if round_ else "id <> hub")
             pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        linked = written(_linked(pairs, sets, part, whole), "linked")
+        linked = scratch.written(_linked(pairs, sets, part, whole), "linked")
         none = linked.isEmpty()
         if not none:
             edges = linked if edges is None else edges.unionByName(linked)
@@ -321,6 +322,7 @@ def near_duplicates(
         rest = open_.join(hubs.select("sig", F.col("hub").alias("id")), ["sig", "id"], "left_anti")
         open_ = _in_components(rest.select("sig", "id"), found)
 
+    scratch.drop()  # the result reads classes, firsts and the edges of the last components
     of_class = firsts.join(found.withColumnRenamed("id", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("component"))
     return classes.join(of_class, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

@@ -33,7 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` read from a Parquet table in the shared folder, made now: smaller than a checkpoint, columns prunable."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    return _write(df, new_path(df.sparkSession, name))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -41,3 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables that an operator drops once nothing that it returns reads them."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(df.sparkSession, name)
+        self._paths.append((df.sparkSession, path))
+        return _write(df, path)
+
+    def drop(self) -> None:
+        for spark, path in self._paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._paths.clear()

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from deltaloom.llm import words
 from deltaloom.llm.arrow import add_columns, schema
-from deltaloom.llm.shared import written
+from deltaloom.llm.shared import Scratch, written
 
 WINDOW = 35
 PREFIX = 8
@@ -251,16 +251,19 @@ def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PRE
 
     A prefix has a row for each text, however often the text repeats it; ``often`` is written so that both sides of the join
     are plain tables, of which a hot prefix can be split at run time."""
-    found = written(docs.select("rid", text_col).mapInArrow(_find_anchors(window, prefix), _ANCHORS), "anchors")
-    often = written(found.groupBy(F.col("prefix").alias("twice")).agg(F.sum("n").alias("times")).filter("times > 1"), "often")
+    early, late = Scratch(), Scratch()
+    found = early.written(docs.select("rid", text_col).mapInArrow(_find_anchors(window, prefix), _ANCHORS), "anchors")
+    often = early.written(found.groupBy(F.col("prefix").alias("twice")).agg(F.sum("n").alias("times")).filter("times > 1"), "often")
     parts = F.ceil(F.col("times") / group).cast("int").alias("parts")
     kept = found.join(often, found["prefix"] == often["twice"]).select("rid", F.struct("prefix", "pos", parts).alias("anchor"))
-    lists = written(kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors")), "lists")
+    lists = late.written(kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors")), "lists")
+    early.drop()
     near = docs.join(lists, docs["rid"] == lists["__rid"])
     places = (near.columns.index("rid"), near.columns.index(text_col), near.columns.index("anchors"))
     suffixes = near.mapInArrow(_cut_suffixes(*places, window, prefix), _SUFFIXES)
     trees = suffixes.repartition("prefix", "part").sortWithinPartitions("prefix", "part").mapInArrow(_grow_trees(window, prefix), _MARKS)
     marks = written(trees, "marks")
+    late.drop()
     named = marks.filter("window_hash IS NOT NULL")
     over = named.groupBy(F.col("window_hash").alias("same")).agg(F.sum("times").alias("all")).filter("all > 1")
     across = named.join(over, named["window_hash"] == over["same"]).select("rid", "pos", "mask")
