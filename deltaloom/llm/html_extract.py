@@ -3,7 +3,11 @@
 Every page is parsed once for a vote: the text of its containers, without boilerplate, picks the smallest container that
 holds nearly all of it, named by its generalised path (tags with their class words, digits dropped). Votes are counted per
 host and path in Spark, and each page is then parsed again and cut at the container that most pages of its host chose,
-among those it has; a page that has none of them uses its own choice.
+among those it has, or at its own choice.
+
+A page is cut at a container only if every block of text outside it is known to be boilerplate: it stands outside the
+choice of at least REPEATED pages of the host with unlike text inside, and of REPEATED_SHARE of all its pages. Otherwise
+the next path of the host is tried, then the page's own choice and its ancestors up to the whole page.
 
 Dropped wherever they stand: scripts, styles, forms and other elements without reading text; menus, page headers, footers,
 asides; elements whose class or id words name an advert, notice, sidebar, menu or comment; hidden elements; comments of
@@ -12,11 +16,13 @@ the markup. Character references are decoded, white space inside a block becomes
 Null and empty html, and pages of boilerplate alone, give an empty text. A null or odd url belongs to the host ''. Each row
 of ``pages`` gives one row; equal rows give equal ones. Unclosed and truncated markup is read as far as it goes. Votes are
 counted before the shuffle, so a host with a third of all pages is no hot key. The table of winners is broadcast up to
-BROADCAST_HOSTS hosts of WINNERS paths of bounded length; beyond that it is joined by host, in partitions that can be split.
+BROADCAST_HOSTS hosts of WINNERS paths of bounded length and BROADCAST_BLOCKS repeated blocks of 8 bytes; beyond that it is
+joined by host, in partitions that can be split.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -24,11 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.llm.arrow import map_rows
-from deltaloom.llm.shared import cut
+from deltaloom.llm.shared import Scratch, cut
 
 SHARE = 0.85
 WINNERS = 8
 BROADCAST_HOSTS = 50_000
+BROADCAST_BLOCKS = 1_000_000
+REPEATED = 3
+REPEATED_SHARE = 0.01
 _PATH_STEPS = 12
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*\Z""", re.S)
@@ -179,8 +188,8 @@ class Page:
             out[self.parents[i]] += out[i]
         return out
 
-    def choice(self) -> str | None:
-        """Path of the smallest container with nearly all of the text; None without text."""
+    def choice(self) -> int | None:
+        """The smallest container with nearly all of the text; None without text."""
         totals = self.totals()
         if not totals[0]:
             return None
@@ -188,26 +197,45 @@ class Page:
         for i in range(1, len(totals)):  # parents come before children
             if self.parents[i] == best and totals[i] >= SHARE * totals[0]:
                 best = i
-        return self.paths[best]
+        return best
 
-    def text(self, path: str) -> str:
-        """Text of the containers with ``path``, in page order."""
+    def split(self, path: str) -> tuple[list[str], list[str]]:
+        """Blocks of the containers with ``path``, in page order, and the other blocks."""
         inside = [False] * len(self.parents)
         for i, parent in enumerate(self.parents):
             inside[i] = self.paths[i] == path or (parent >= 0 and inside[parent])
-        return "\n".join(t for c, t in self.blocks if inside[c])
+        return [t for c, t in self.blocks if inside[c]], [t for c, t in self.blocks if not inside[c]]
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def extract(source: str, winners: list[str] | None) -> str:
+def vote(source: str) -> tuple[str | None, int | None, list[int]]:
+    """Path that a page chooses, hash of the text inside and hashes of the blocks outside; no path without text."""
     page = Page(source)
     own = page.choice()
     if own is None:
+        return None, None, []
+    inside, outside = page.split(page.paths[own])
+    return page.paths[own], _hash("\n".join(inside)), sorted({_hash(t) for t in outside})
+
+
+def extract(source: str, winners: list[str] | None, repeated: set[int]) -> str:
+    page = Page(source)
+    at = page.choice()
+    if at is None:
         return ""
     there = set(page.paths)
-    for path in winners or ():
-        if path in there and (text := page.text(path)):
-            return text
-    return page.text(own)
+    paths = [p for p in winners or () if p in there]
+    while at >= 0:
+        paths.append(page.paths[at])
+        at = page.parents[at]
+    for path in dict.fromkeys(paths):  # the last is the root's, with nothing outside
+        inside, outside = page.split(path)
+        if inside and all(_hash(t) in repeated for t in outside):
+            break
+    return "\n".join(inside)
 
 
 def _host(url: bytes | None) -> str:
@@ -215,39 +243,50 @@ def _host(url: bytes | None) -> str:
     return m.group(1).decode("utf-8", "replace").lower()[:255] if m else ""
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host`` and ``winners``, its paths by number of votes, then by name; hosts without a vote have no row."""
+def host_paths(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host``, ``winners``, its paths by number of votes, then by name, and ``repeated``, hashes of the blocks that are
+    boilerplate by their number; hosts without a vote have no row."""
 
     def rows(got: dict[str, list]) -> dict[str, list]:
-        return {"host": [_host(u) for u in got[url_col]], "path": [Page((h or b"").decode("utf-8", "replace")).choice() for h in got[html_col]]}
+        made = [vote((h or b"").decode("utf-8", "replace")) for h in got[html_col]]
+        return {"host": [_host(u) for u in got[url_col]]} | {k: [x[i] for x in made] for i, k in enumerate(("path", "inside", "outside"))}
 
-    votes = map_rows(pages, [url_col, html_col], "host string, path string", rows, 64).filter("path IS NOT NULL").groupBy("host", "path").count()
+    read = map_rows(pages, [url_col, html_col], "host string, path string, inside long, outside array<long>", rows, 64)
+    votes = scratch.written(read.filter("path IS NOT NULL"), "votes")
+    counts = votes.groupBy("host", "path").count()
     order = Window.partitionBy("host").orderBy(F.desc("count"), "path")
-    return (
-        votes.withColumn("place", F.row_number().over(order))
+    winners = (
+        counts.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= WINNERS)
         .groupBy("host")
         .agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("ranked"))
         .select("host", F.col("ranked.path").alias("winners"))
     )
+    seen = votes.select("host", "inside", F.explode("outside").alias("block")).distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    n_pages = votes.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    often = seen.filter(F.col("n") >= REPEATED).join(n_pages, "host").filter(F.col("n") >= REPEATED_SHARE * F.col("n_pages"))
+    return winners.join(often.groupBy("host").agg(F.collect_list("block").alias("repeated")), "host", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` of each page."""
-    winners = cut(host_paths(pages, url_col, html_col))
-    if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    scratch = Scratch()
+    winners = cut(host_paths(pages, scratch, url_col, html_col))
+    scratch.drop()
+    hosts, blocks = winners.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("repeated"), F.lit(0))), F.lit(0))).first()
+    if hosts <= BROADCAST_HOSTS and blocks <= BROADCAST_BLOCKS:
         winners = F.broadcast(winners)
     host = F.lower(F.substring(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), 1, 255))
     joined = pages.select(id_col, url_col, html_col).withColumn("host", host).join(winners, "host", "left")
 
     def rows(got: dict[str, list]) -> dict[str, list]:
-        lists = [[p for p in w] if w is not None else None for w in got["winners"]]
-        texts = [extract((h or b"").decode("utf-8", "replace"), w) for h, w in zip(got[html_col], lists, strict=True)]
+        lists = zip(got[html_col], got["winners"], got["repeated"], strict=True)
+        texts = [extract((h or b"").decode("utf-8", "replace"), w, set(r or ())) for h, w, r in lists]
         urls = [None if u is None else u.decode("utf-8") for u in got[url_col]]
         return {"__id": got[id_col], "__url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = map_rows(joined, [id_col, url_col, html_col, "winners"], f"__id {kind}, __url string, text string, n_chars long", rows, 64)
+    out = map_rows(joined, [id_col, url_col, html_col, "winners", "repeated"], f"__id {kind}, __url string, text string, n_chars long", rows, 64)
     return out.withColumnsRenamed({"__id": id_col, "__url": url_col})
 
 

@@ -132,6 +132,35 @@ def test_html(spark, none):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _texts(spark, pages):
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [t for _, t in sorted((r["page_id"], r["text"]) for r in got)]
+
+
+def test_html_cuts_at_a_container_only_where_all_else_repeats(spark):
+    """Nested leads, split bodies, mixed layouts, copies of a page, against the article text of each page."""
+    strip, pages, want = "Read more about us and our partners", [], []
+    for i in range(4):
+        title, lead, body = f"Title {i}", _text(300 + i, 6), _text(310 + i, 200)
+        pages.append(("http://lead/", f"<body><div>{strip}</div><article><h1>{title}</h1><p>{lead}</p><div class=body><p>{body}</p></div></article></body>"))
+        want.append(f"{title}\n{lead}\n{body}")
+    for i in range(4):
+        body = _text(320 + i, 100)
+        pages.append(("http://mixed/", f"<body><div>{strip}</div><div class=body><p>{body}</p></div></body>"))
+        want.append(body)
+    few, many = _text(330, 10), _text(331, 90)
+    pages.append(("http://mixed/", f"<body><div>{strip}</div><div class=body><p>{few}</p></div><div class=more><p>{many}</p></div></body>"))
+    want.append(f"{strip}\n{few}\n{many}")
+    for _ in range(4):
+        pages.append(("http://copies/", f"<body><p>{few}</p><div class=body><p>{many}</p></div></body>"))
+        want.append(f"{few}\n{many}")
+    half = [_text(332, 100), _text(333, 100)]
+    pages.append(("http://one/", f"<body><h1>Top</h1><div class=a>{half[0]}</div><div class=b>{half[1]}</div></body>"))
+    want.append("\n".join(["Top", *half]))
+    assert _texts(spark, pages) == want
+
+
 def test_warc(spark, tmp_path):
     big, odd_page = "ab\r\n\r\nc" * 40_000, "é" * 600
     rows = [(1, "u", big), (2, "u 2", big), (3, None, None), (4, "u", ""), (5, "u", odd_page), (6, "u", odd_page), (7, "u", "x" * 999), (8, "u", "x" * 999), (None, "u", odd_page)]
