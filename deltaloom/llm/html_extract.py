@@ -11,7 +11,10 @@ the next path of the host is tried, then the page's own choice and its ancestors
 
 Dropped wherever they stand: scripts, styles, forms and other elements without reading text; menus, page headers, footers,
 asides; elements whose class or id words name an advert, notice, sidebar, menu or comment; hidden elements; comments of
-the markup. Character references are decoded, white space inside a block becomes one space, blocks join by a line end.
+the markup. An element named so stays if most of the page's text in article and main elements stands in such elements
+inside it, and, unless all its words are such names, also if the elements of its path hold most of the page's text or the
+path that most pages of the host chose leads into it. An article or main element goes for a whole class or id only, as
+such an element or if all its words are such names ('comments-open' keeps it). Character references are decoded, white space inside a block becomes one space, blocks join by a line end.
 
 Null and empty html, and pages of boilerplate alone, give an empty text. A null or odd url belongs to the host ''. Each row
 of ``pages`` gives one row; equal rows give equal ones. Unclosed and truncated markup is read as far as it goes. Votes are
@@ -63,6 +66,9 @@ _DROP_WORDS = frozenset(
 _PAGE_HEADER_WORDS = frozenset(["header", "topbar"])
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _KEEP_TAGS = frozenset("html body main article".split())
+_NO_ARTICLE_WORDS = frozenset("comment comments ad ads advert sponsored related promo".split())
+#: What _boilerplate says of an element: it stays, some of its words or all of them name boilerplate, or it goes.
+_STAYS, _NAMED, _WHOLLY, _GOES = range(4)
 _CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "body": frozenset(["head"]),
@@ -77,32 +83,42 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], words: list[str], inside_article: bool) -> bool:
+def _boilerplate(tag: str, attributes: dict[str, str], words: list[str], inside_article: bool) -> int:
     if tag in _DROP or (tag == "header" and not inside_article):
-        return True
+        return _GOES
     if not attributes:
-        return False
+        return _STAYS
     style = attributes.get("style", "").replace(" ", "").lower()
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True
+        return _GOES
     if tag in ("html", "body"):
-        return False
+        return _STAYS
     if attributes.get("role", "").lower() in _DROP_ROLES:
-        return True
-    found = set(words) | set(_WORDS.findall(attributes.get("id", "").lower()))
-    if tag in _KEEP_TAGS:
-        return bool(found & {"comment", "comments", "ad", "ads", "advert", "sponsored", "related", "promo"})
-    return bool(found & _DROP_WORDS) or (not inside_article and bool(found & _PAGE_HEADER_WORDS))
+        return _GOES
+    all_words = set(words) | set(_WORDS.findall(attributes.get("id", "").lower()))
+    found = all_words & (_NO_ARTICLE_WORDS if tag in _KEEP_TAGS else _DROP_WORDS if inside_article else _DROP_WORDS | _PAGE_HEADER_WORDS)
+    if not found:
+        return _STAYS
+    if found == all_words:
+        return _WHOLLY
+    if tag in _KEEP_TAGS and not found & {*attributes.get("class", "").lower().split(), attributes.get("id", "").lower()}:
+        return _STAYS
+    return _NAMED
 
 
 class Page:
-    """Blocks of reading text, each with the container it stands in, and the containers' parents and paths."""
+    """Blocks of reading text, each with the container it stands in, and the containers' parents and paths. Elements named
+    as boilerplate are regions, kept or dropped once all is read; ``best`` is the path that most pages of the host chose."""
 
-    def __init__(self, source: str):
-        self.parents, self.paths, self.containers = [-1], [""], [0]
+    def __init__(self, source: str, best: str | None = None):
+        self.parents, self.paths = [-1], [""]
         self.blocks: list[tuple[int, str]] = []
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, dropped, in an article
+        # tag, container, dropped, in an article, region, and the regions that the outermost article and main stand in, or -1
+        self._stack: list[tuple[str, int, bool, bool, int, int, int]] = [("", 0, False, False, 0, -1, -1)]
         self._parts: list[str] = []
+        self._above, self._kinds, self._names = [-1], [_STAYS], [(0, "")]  # of the regions
+        self._regions = [0]  # of the containers
+        self._marks: list[tuple[int, int, int]] = []  # of the blocks: region, and as on the stack
         at, n = 0, len(source)
         while at < n:
             m = _TOKEN.search(source, at)
@@ -125,6 +141,8 @@ class Page:
                     at = end.end() if end else n
                     self._close(tag)
         self._flush()
+        if len(self._kinds) > 1:
+            self._settle(best)
 
     def _text(self, text: str) -> None:
         if not self._stack[-1][2]:
@@ -136,6 +154,7 @@ class Page:
             self._parts.clear()
             if text:
                 self.blocks.append((self._stack[-1][1], text))
+                self._marks.append(self._stack[-1][4:])
 
     def _open(self, tag: str, raw: str) -> None:
         if tag in _BLOCK:
@@ -149,17 +168,61 @@ class Page:
             self._imply(closes)
         attributes = _attributes(raw) if raw and not raw.isspace() else {}
         words = _WORDS.findall(attributes.get("class", "").lower())
-        _, container, dropped, article = self._stack[-1]
-        dropped = dropped or _boilerplate(tag, attributes, words, article)
-        if tag in _DROP or dropped:
+        _, container, dropped, article, region, in_article, in_main = self._stack[-1]
+        kind = _STAYS if dropped else _boilerplate(tag, attributes, words, article)
+        dropped = dropped or kind == _GOES
+        if tag in _DROP or dropped or kind:
             self._flush()
+        name = ".".join([tag, *sorted(set(words))])
+        if kind in (_NAMED, _WHOLLY):
+            self._above.append(region)
+            self._kinds.append(kind)
+            self._names.append((self._names[region][0] + 1, f"{self.paths[container]}/{name}"))
+            region = len(self._kinds) - 1
         if tag in _CONTAINER and not dropped:
             self.parents.append(container)
-            name = ".".join([tag, *sorted(set(words))])
+            self._regions.append(region)
             parent = self.paths[container]
             self.paths.append(f"{parent}/{name}" if parent.count("/") < _PATH_STEPS else parent)
             container = len(self.parents) - 1
-        self._stack.append((tag, container, dropped, article or tag in ("article", "main")))
+        if tag in ("article", "main") and not _NO_ARTICLE_WORDS & {*words, *_WORDS.findall(attributes.get("id", "").lower())}:
+            if tag == "article" and in_article < 0:
+                in_article = region
+            if tag == "main" and in_main < 0:
+                in_main = region
+        self._stack.append((tag, container, dropped, article or tag in ("article", "main"), region, in_article, in_main))
+
+    def _settle(self, best: str | None) -> None:
+        """Drop the blocks of the regions that are boilerplate."""
+        above, kinds = self._above, self._kinds
+        down, up = range(1, len(kinds)), range(len(kinds) - 1, 0, -1)  # outer regions come before inner ones
+        held = [0] * len(kinds)
+        for (_, text), (_, in_article, in_main) in zip(self.blocks, self._marks, strict=True):
+            if in_article >= 0 or in_main >= 0:
+                held[max(in_article, in_main)] += len(text)  # the inner of the two
+        for r in up:
+            held[above[r]] += held[r]
+        keep = [2 * x > held[0] for x in held]
+        keep[0] = True
+        open_ = keep.copy()
+        for r in down:
+            open_[r] = open_[above[r]] and (keep[r] or kinds[r] == _NAMED)
+        size, total, by_name = [0] * len(kinds), 0, {}
+        for (_, text), (region, _, _) in zip(self.blocks, self._marks, strict=True):
+            if open_[region]:
+                size[region] += len(text)
+                total += len(text)
+        chosen = [False] * len(kinds)
+        for region, path in zip(self._regions, self.paths, strict=True):
+            chosen[region] |= path == best
+        for r in up:
+            size[above[r]] += size[r]
+            chosen[above[r]] |= chosen[r]
+            by_name[self._names[r]] = by_name.get(self._names[r], 0) + size[r]
+        for r in down:
+            named = kinds[r] == _NAMED and (chosen[r] or 2 * by_name[self._names[r]] > total)
+            keep[r] = keep[above[r]] and (keep[r] or named)
+        self.blocks = [b for b, m in zip(self.blocks, self._marks, strict=True) if keep[m[0]]]
 
     def _imply(self, closes: frozenset[str]) -> None:
         """Close an open element of ``closes`` that no container or list stands in front of."""
@@ -174,7 +237,7 @@ class Page:
     def _close(self, tag: str) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
-                if tag in _BLOCK or self._stack[i][2]:
+                if tag in _BLOCK or self._stack[i][2] or self._stack[i][4] != self._stack[i - 1][4]:
                     self._flush()
                 del self._stack[i:]
                 return
@@ -222,7 +285,7 @@ def vote(source: str) -> tuple[str | None, int | None, list[int]]:
 
 
 def extract(source: str, winners: list[str] | None, repeated: set[int]) -> str:
-    page = Page(source)
+    page = Page(source, winners[0] if winners else None)
     at = page.choice()
     if at is None:
         return ""

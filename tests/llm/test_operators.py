@@ -161,6 +161,28 @@ def test_html_cuts_at_a_container_only_where_all_else_repeats(spark):
     assert _texts(spark, pages) == want
 
 
+def test_html_words_of_a_wrapper(spark):
+    """Wrappers whose class or id has a word of boilerplate keep the article; boilerplate beside or inside it still goes."""
+    body, few, other = _text(340, 120), _text(341, 20), _text(342, 60)
+    side = "<div class=sidebar>side</div><section id=comments><article class='comment depth'>nice</article></section><p class='ad box'>buy</p>"
+    pages, want = [], []
+    for start in ("<div class='content with-sidebar'>", "<div class='no-sidebar'>", "<div class='social-science'>", "<div id='notice-of-change'>", "<div class=share-price-news>",
+                  "<article class='comments-open'>", "<main class='has-comments'>", "<article class='ad-free'>", "<div class=sidebar><article>", "<div class=widget><main>"):
+        end = "".join(f"</{x.split()[0]}>" for x in reversed(start.replace(">", "").split("<")[1:]))
+        pages += [("", f"<body>{start}<p>{body}</p>{side}{end}</body>"), ("", f"<body>{start}<p>{body}</p>{end}{side}</body>")]
+        want += [body, body]
+    pages.append(("", "<body>" + "".join(f"<article class='post has-comments'>{_text(350 + i, 40)}</article>" for i in range(5)) + side + "</body>"))
+    want.append("\n".join(_text(350 + i, 40) for i in range(5)))
+    pages.append(("", f"<body><article>{few}</article><div class=related><article>{few[:40]}</article></div><div class=comments>{body}</div></body>"))
+    want.append(few)
+    for i in range(3):
+        pages.append(("http://host/", f"<body><div class='content no-sidebar'>{_text(360 + i, 300)}</div></body>"))
+        want.append(_text(360 + i, 300))
+    pages.append(("http://host/", f"<body><div class='content no-sidebar'>{few}</div><p>{other}</p></body>"))
+    want.append(f"{few}\n{other}")
+    assert _texts(spark, pages) == want
+
+
 def test_warc(spark, tmp_path):
     big, odd_page = "ab\r\n\r\nc" * 40_000, "é" * 600
     rows = [(1, "u", big), (2, "u 2", big), (3, None, None), (4, "u", ""), (5, "u", odd_page), (6, "u", odd_page), (7, "u", "x" * 999), (8, "u", "x" * 999), (None, "u", odd_page)]
