@@ -329,12 +329,35 @@ def near_duplicates(
     )
 
 
+def _with_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with ``__key``: the id, or a hash of id and text, above all but very large ids, where the id is null or other
+    texts have it too. Rows of equal id and text, and only they, have the same key."""
+    shape = F.xxhash64(F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    shared = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__shared")).agg(F.min(shape).alias("low"), F.max(shape).alias("high"))
+    shared = written(shared.filter("low <> high").select("__shared"), "shared_ids")
+    small = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    if df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        own, made = F.col(id_col).cast("long"), F.shiftrightunsigned(shape, 4) + F.lit(0x7 << 60)
+    else:
+        own, made = F.col(id_col).cast("string"), F.concat(F.lit("\U0010ffff"), F.hex(shape))
+    both = df.join(F.broadcast(shared) if small else shared, df[id_col] == F.col("__shared"), "left")
+    return both.withColumn("__key", F.when(F.col(id_col).isNull() | F.col("__shared").isNotNull(), made).otherwise(own)).drop("__shared")
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """The rows of ``df`` whose id is the least of its component. Rows of a null id stay."""
-    found = near_duplicates(df, id_col, text_col, k, part, whole)
-    gone = written(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(gone) if small else gone, df[id_col] == F.col("__gone"), "left_anti")
+    """One row of ``df`` of each group of near duplicates, that of the least id; rows of equal id and text, and rows without an
+    id, are members as all others. Unlike texts stay, whether they share an id or not."""
+    keyed = _with_key(df, id_col, text_col)
+    found = near_duplicates(keyed, "__key", text_col, k, part, whole)
+    rows = found.groupBy(F.col("__key").alias("__of")).agg(F.max(F.col("component_id") != F.col("__key")).alias("__gone"), F.count(F.lit(1)).alias("n"))
+    fate = written(rows.filter("__gone OR n > 1").select("__of", "__gone"), "fate")
+    small = fate.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    judged = keyed.join(F.broadcast(fate) if small else fate, F.col("__key") == F.col("__of"), "left")
+    out = judged.filter("__of IS NULL").select(*df.columns)
+    if fate.filter("NOT __gone").isEmpty():
+        return out
+    several = judged.filter("NOT __gone").groupBy("__key").agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("row"))
+    return out.unionByName(several.select("row.*"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,24 @@ def test_jaccard_join_around_the_threshold(spark, k, part):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == {i: (len(s), least[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_one_of_each_keeps_one_row(spark, kind):
+    """Repeated rows, copies without an id, unlike texts of one id, and what the next stage leaves of them."""
+    t = [_text(400 + i, 100) for i in range(8)]
+    near = t[0].rsplit(" ", 2)[0] + " other end"
+    rows = [(1, t[0], "a"), (1, t[0], "a"), (1, t[0], "b"), (2, t[0], "a"), (None, t[0], "a"), (None, near, "a"), (3, near, "a")]
+    rows += [(4, t[1], "a"), (4, t[1], "a"), (5, t[2], "a"), (5, t[3], "a"), (5, t[3], "a"), (6, t[3], "a"), (None, t[4], "a"), (None, t[4], "a")]
+    rows += [(None, t[5], "a"), (7, t[6], "a"), (8, None, "a"), (8, None, "a"), (9, "", "a"), (None, None, "a"), (None, None, "a"), (None, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(5)
+    got = jaccard_join.one_of_each(df)
+    assert got.schema == df.schema
+    kept = [(None if i is None else int(i), x) for i, x, _ in got.collect()]
+    want = [(1, t[0]), (4, t[1]), (5, t[2]), (6, t[3]), (None, t[4]), (None, t[5]), (7, t[6]), (8, None), (9, ""), (None, None), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    left = [r["text"] for r in substring_dedup.without_repeats(got).collect()]
+    assert sorted(x for x in left if x) == sorted(x for _, x in want if x)
+
+
 def test_partenum_loses_no_pair():
     rng = np.random.default_rng(5)
     for percent in (90, 80):
