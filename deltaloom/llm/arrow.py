@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from deltaloom.llm.shared import bound_batches
+
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of a string column; null is the empty text."""
@@ -48,13 +50,22 @@ def map_rows(
                 made = rows(got)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
+    bound_batches(df.sparkSession)
     return df.select(*[df[name] for name in inputs]).mapInArrow(run, made_of)
 
 
 def add_columns(
     df: DataFrame, inputs: list[str], outputs: str, rows: Callable[[dict[str, list]], dict[str, list]], rows_at_once: int = 256
 ) -> DataFrame:
-    """``df`` with ``outputs`` after its own columns, which pass through as they are. The names of ``outputs`` must be new."""
+    """``df`` with ``outputs`` after its own columns, which pass through as they are; columns named like an output, in any
+    case, are replaced. ``inputs`` are read before that."""
+    names = {f.name.lower() for f in T.StructType.fromDDL(outputs)}
+    if clashing := [c for c in df.columns if c.lower() in names]:
+        spare = {c: f"__in{i}" for i, c in enumerate(inputs) if c in clashing}
+        df = df.withColumns({new: df[c] for c, new in spare.items()}).drop(*clashing)
+        out = add_columns(df, [spare.get(c, c) for c in inputs], outputs, lambda got: rows({c: got[spare.get(c, c)] for c in inputs}), rows_at_once)
+        return out.drop(*spare.values())
+    bound_batches(df.sparkSession)
     made_of = T.StructType([*df.schema.fields, *T.StructType.fromDDL(outputs).fields])
     arrow = to_arrow_schema(made_of)
     places = [df.columns.index(name) for name in inputs]

@@ -5,11 +5,13 @@ symbols, stops, distinct and repeated words, and from a hashed bag of its words;
 Gated attention, learned from document labels alone, weighs the passages; the score is a logistic function of the weighted
 vector. Labels, language, source and ids are never inputs.
 
-Training is on the driver, in numpy, over a bounded sample: at most ``train_docs`` labelled documents, those first by a hash
-of their id, and of each at most ``train_passages`` passages evenly spaced. Scoring covers every passage of every text, in one
-pass without a shuffle. A label that is null or whose id is null is not used; repeated labels of an id count as the least,
-repeated documents of an id as the least text. Null and empty texts are one passage of zeros and get a score like any other.
-Without a usable label every score is 0.5. Scores are rounded to six places, so that batching does not show in them.
+Training is on the driver, in numpy, over a bounded sample of labelled rows: at most ``train_docs`` documents, taken in the order
+of a hash of their id as long as all their passages fit into ``train_passages`` in total; a text is trained on whole or not at
+all. Scoring covers every passage of every text, in one pass without a shuffle. A label that is null or whose id is null is not
+used; repeated labels of an id count as the least, repeated documents of an id as the least text. Null and empty texts are one
+passage of zeros and get a score like any other. Without a usable label every score is 0.5. An empty table gives no rows. Other
+columns pass through; one named like the new column is replaced. Scores are rounded to six places, so that batching does not
+show in them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm import words
 from deltaloom.llm.arrow import add_columns, map_rows
+from deltaloom.llm.shared import Scratch
 
 PASSAGE = 64
 BAG = 128
@@ -45,16 +48,14 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def passages(data: bytes, most: int | None = None) -> np.ndarray:
-    """One row of WIDTH features for each passage; of more than ``most``, that many evenly spaced."""
+def passages(data: bytes) -> np.ndarray:
+    """One row of WIDTH features for each passage."""
     h, start, end = words.hash_words(data)
     n = len(h)
     if not n:
         return np.zeros((1, WIDTH), dtype=np.float32)
     b = np.frombuffer(data, dtype=np.uint8)
     first = np.arange(0, n, PASSAGE)
-    if most is not None and len(first) > most:
-        first = first[np.linspace(0, len(first) - 1, most).astype(int)]
     out = np.zeros((len(first), WIDTH), dtype=np.float32)
     for group in range(0, len(first), 256):  # bounded memory for very long texts
         _encode(out[group : group + 256], first[group : group + 256], h, start, end, b)
@@ -164,23 +165,41 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_passages: int = 256) -> Model:
+def _that_fit(sizes: list[tuple], most: int) -> list:
+    """Ids of (id, passages) in their order, as long as they add up to ``most``; one too large for what is left is passed over."""
+    out, left = [], most
+    for id_, n in sizes:
+        if n <= left:
+            out.append(id_)
+            left -= n
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_passages: int = 200_000) -> Model:
     """A model from the labelled rows of ``docs`` that are not held out."""
+    scratch = Scratch()
     known = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("quality"))
     )
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    texts = (  # at most train_docs ids, so the broadcast is bounded
-        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    texts = scratch.written(  # at most train_docs ids, so the broadcast is bounded
+        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled"
     )
 
+    def count(got: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": got["doc_id"], "n": [max(1, -(-len((t or b"").split()) // PASSAGE)) for t in got["text"]]}
+
     def rows(got: dict[str, list]) -> dict[str, list]:
-        return {k: got[k] for k in ("doc_id", "quality")} | {"bag": [passages(t or b"", train_passages).tobytes() for t in got["text"]]}
+        return {k: got[k] for k in ("doc_id", "quality")} | {"bag": [passages(t or b"").tobytes() for t in got["text"]]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sorted(map(tuple, map_rows(texts, ["doc_id", "quality", "text"], f"doc_id {kind}, quality int, bag binary", rows).collect()))
+    sizes = map_rows(texts, ["doc_id", "text"], f"doc_id {kind}, n long", count).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in _that_fit(sizes, train_passages)], f"doc_id {kind}")
+    made = map_rows(texts.join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality", "text"], f"doc_id {kind}, quality int, bag binary", rows, 16)
+    found = sorted(map(tuple, made.collect()))
+    scratch.drop()
     return train([np.frombuffer(b, dtype=np.float32).reshape(-1, WIDTH) for _, _, b in found], [q for _, q, _ in found])
 
 
@@ -194,7 +213,7 @@ def _score_texts(model: Model, texts: list[bytes | None]) -> list[float]:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each text in a new column."""
+    """``docs`` with the score of each text in ``out_col``, in place of a column of that name."""
     return add_columns(docs, [text_col], f"`{out_col}` double", lambda got: {out_col: _score_texts(model, got[text_col])}, 64)
 
 
