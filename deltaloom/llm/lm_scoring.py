@@ -2,13 +2,13 @@
 
 The model mixes maximum-likelihood estimates of the word given the one before, of the word alone, and a uniform share. The
 weights depend on the bucket of the context's frequency (its binary logarithm) and are learned by expectation-maximisation
-on held-out counts: the counts of training documents with each token's own occurrence deleted.
+on held-out counts: the counts of all training documents with each token's own occurrence deleted.
 
 Counts cover every training document. Documents are dealt by row to batches of about BATCH tokens in a written table, so that
 repeated rows spread and a batch is the same in every reading; a batch looks the
 distinct words and word pairs of its documents up together: keys of 64 hash bits are dealt to buckets of about BUCKET keys,
 a batch sends each bucket one row with its keys and their training occurrences, the bucket adds them up and sends back the
-counts, in the order in which the batch asked. Documents from which weights are learned have batches of their own. Keys that
+counts, in the order in which the batch asked. Keys that
 a sample shows to be frequent (HOT at most) are counted before the shuffle and known to every task, so no bucket fills with
 one key; the sample steers cost, not results.
 
@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from deltaloom.llm import words
 from deltaloom.llm.arrow import schema
-from deltaloom.llm.shared import written
+from deltaloom.llm.shared import Scratch, bound_batches, written
 from deltaloom.llm.substring_dedup import with_rid
 
 BUCKET = 3_000_000
@@ -256,6 +256,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
     """``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row."""
     named = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = with_rid(named, "id", "text").withColumn("held_out", held_out("id")).select("id", "rid", "text", "held_out")
+    bound_batches(df.sparkSession)
+    scratch = Scratch()
     hot = _hot_keys(docs)
     sums = docs.select("text", ~F.col("held_out")).mapInArrow(_count_hot(hot), _SUMS).groupBy("place").agg(F.sum("n").alias("n"))
     place = {r["place"]: r["n"] for r in sums.collect()}  # one row for each hot key at most
@@ -264,9 +266,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
     tokens = place.get(-3, 0)
     buckets = max(1, -(-2 * tokens // bucket_keys))
     batches = max(1, -(-tokens // batch_tokens))
-    is_deleted = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 3, F.lit(True))
-    dealt = F.pmod(F.xxhash64("rid", F.monotonically_increasing_id()), F.when(is_deleted, F.lit(max(1, batches // 7))).otherwise(F.lit(batches)))
-    docs = written(docs.select("id", "text", "held_out", (2 * dealt + is_deleted.cast("long")).alias("batch")), "dealt")
+    dealt = F.pmod(F.xxhash64("rid", F.monotonically_increasing_id()), F.lit(batches))
+    docs = written(docs.select("id", "text", "held_out", dealt.alias("batch")), "dealt")
     asked = docs.select("batch", "text", "held_out").groupBy("batch").applyInArrow(_ask(hot, buckets), _ASKED)
     answers = written(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _ANSWERS), "answers")
     new_words = answers.agg(F.sum("new_words")).first()[0] or 0
@@ -282,15 +283,18 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
 
     def bin_counts(some: pa.Table, answered: pa.Table) -> pa.Table:
         seen = [np.zeros(0, np.int64)]
-        for c in counts_of(some, answered):
+        for c, held in zip(counts_of(some, answered), some.column("held_out").to_pylist(), strict=True):
+            if held:
+                continue
             bucket, pair, word = parts(c, n, deleted=True)
             seen.append((bucket << 40) + ((_bin(pair) + 1) << 20) + _bin(word) + 1)
         code, times = np.unique(np.concatenate(seen), return_counts=True)
         return pa.table({"code": code, "times": times})
 
-    own, theirs = docs.filter(is_deleted).groupBy("batch"), replies.filter("batch % 2 = 1").groupBy("batch")
-    binned = own.cogroup(theirs).applyInArrow(bin_counts, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
+    binned = docs.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(bin_counts, "code long, times long")
+    binned = scratch.written(binned.groupBy("code").agg(F.sum("times").alias("times")), "bins")  # written, so that its shuffle files go
     split = [(r[0] >> 40, ((r[0] >> 20) & 0xFFFFF) - 1, (r[0] & 0xFFFFF) - 1, r[1]) for r in binned.collect()]  # bounded by the bins
+    scratch.drop()
     weights = learn_weights(sorted(split), vocabulary)
 
     def score_rows(some: pa.Table, answered: pa.Table) -> pa.Table:
