@@ -7,7 +7,11 @@ own bytes does not follow its length.
 
 The stored form of a payload is a WAV file whose data chunk is the payload, byte for byte: a byte is a sample of mu-law or
 A-law, and 64 bytes are a block of ADPCM (predictor, step index, reserved byte, codes). A step index above 88 counts as 88.
-Each row is handled alone. Null is the empty payload, padded to 64 zero bytes. Equal payloads give equal values.
+Each row is handled alone. Null is the empty payload, padded to 64 zero bytes. Equal payloads give equal values, repeated rows
+repeated ones; an empty table gives an empty one. Other columns are not read, whatever their names.
+
+``store_text`` makes media, ``store_pcm`` reads a media table's stored bytes, digests them and stores the resampled PCM beside the
+digests, and ``describe_pcm`` computes features from the stored PCM. Each writes a table in the shared folder for the next.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.llm.arrow import map_rows
+from deltaloom.llm.shared import Scratch, written
 
 UNIT = 64
 RATE = 8000
@@ -202,17 +207,16 @@ def decode_together(audios: list[Audio]) -> list[Iterator[np.ndarray]]:
     return out
 
 
-def pcm_features(audio: Audio, stretches: Iterator[np.ndarray]) -> str:
-    """A line of features of the resampled PCM: codec, samples, peak, mean square, zero crossings, CRC-32."""
-    n = peak = energy = crossings = crc = 0
-    sign = None
-    for pcm in resample_twice(stretches):
-        wide = pcm.astype(np.int64)
-        n, peak, energy = n + len(pcm), max(peak, int(np.abs(wide).max())), energy + int((wide * wide).sum())
-        negative = pcm < 0
-        crossings += int(np.count_nonzero(negative[1:] != negative[:-1])) + (sign is not None and bool(negative[0]) != sign)
-        sign, crc = bool(negative[-1]), zlib.crc32(pcm.tobytes(), crc)
-    return f"{audio.codec}:{2 * audio.rate}:{n}:{peak}:{energy // max(n, 1)}:{crossings}:{crc:08x}"
+def pcm_features(codec: str, rate: int, pcm: bytes) -> str:
+    """A line of features of PCM of 16 bits: codec, rate, samples, peak, mean square, zero crossings, CRC-32."""
+    whole = np.frombuffer(pcm, dtype="<i2")
+    peak = energy = crossings = 0
+    for at in range(0, len(whole), STRETCH):
+        wide = whole[at : at + STRETCH].astype(np.int64)
+        peak, energy = max(peak, int(np.abs(wide).max())), energy + int((wide * wide).sum())
+        negative = whole[max(at - 1, 0) : at + STRETCH] < 0
+        crossings += int(np.count_nonzero(negative[1:] != negative[:-1]))
+    return f"{codec}:{rate}:{len(whole)}:{peak}:{energy // max(len(whole), 1)}:{crossings}:{zlib.crc32(pcm):08x}"
 
 
 def pad(data: bytes) -> bytes:
@@ -250,25 +254,52 @@ def decode_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...]
     return map_rows(renamed, [*keep, "__media"], f"{kinds}pcm binary, pcm_rate int", rows, 64)
 
 
-def describe_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests and features of what ``store_text`` stored, from the stored bytes."""
+_DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def store_pcm(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digests of what ``store_text`` stored, from the stored bytes, with ``codec``, ``pcm_rate`` and ``pcm``, resampled."""
 
     def rows(got: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"__id": got[id_col], "n_bytes": got["n_bytes"]}
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm_rate", "pcm")
         made = []
         audios = [read_wav(m) for m in got["media"]]
-        for media, audio, stretches in zip(got["media"], audios, decode_together(audios), strict=True):
+        for whole, audio, stretches in zip(got["media"], audios, decode_together(audios), strict=True):
             made.append((
-                len(audio.data), hashlib.sha256(audio.data).hexdigest(), zlib.crc32(audio.data[-UNIT:]),
-                len(media), hashlib.sha256(media).hexdigest(), pcm_features(audio, stretches),
+                len(audio.data), hashlib.sha256(audio.data).hexdigest(), zlib.crc32(audio.data[-UNIT:]), len(whole), hashlib.sha256(whole).hexdigest(),
+                audio.codec, 2 * audio.rate, b"".join(x.tobytes() for x in resample_twice(stretches)),
             ))
         return out | {k: [m[i] for m in made] for i, k in enumerate(names)}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    outputs = f"__id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_rows(df, [id_col, "n_bytes", "media"], outputs, rows).withColumnRenamed("__id", id_col)
+    kind = media.schema[id_col].dataType.simpleString()
+    made = map_rows(media, [id_col, "n_bytes", "media"], f"__id {kind}, {_DIGESTS}, codec string, pcm_rate int, pcm binary", rows, 64)
+    return made.withColumnRenamed("__id", id_col)
+
+
+def describe_pcm(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``stored`` digests with ``feature``, computed from the PCM, in place of it."""
+    names = [x.split()[0] for x in _DIGESTS.split(", ")]
+
+    def rows(got: dict[str, list]) -> dict[str, list]:
+        text = lambda k: [x.decode() for x in got[k]]
+        feature = [pcm_features(*x) for x in zip(text("codec"), got["pcm_rate"], got["pcm"], strict=True)]
+        kept = {k: text(k) if k.endswith("sha256") else got[k] for k in names}
+        return {"__id": got[id_col], **kept, "feature": feature}
+
+    kind = stored.schema[id_col].dataType.simpleString()
+    made = map_rows(stored, [id_col, *names, "codec", "pcm_rate", "pcm"], f"__id {kind}, {_DIGESTS}, feature string", rows, 64)
+    return made.withColumnRenamed("__id", id_col)
+
+
+def through_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts stored as media, read back, stored as resampled PCM, and described from that."""
+    scratch = Scratch()
+    media = scratch.written(store_text(df, id_col, text_col), "media")
+    pcm = written(store_pcm(media, id_col), "pcm")
+    scratch.drop()
+    return describe_pcm(pcm, id_col)
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe_media(store_text(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return through_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
