@@ -1,9 +1,10 @@
 """Main text of web pages by a consensus of each host's pages.
 
-Every page is parsed once for a vote: the text of its containers, without boilerplate, picks the smallest container that
-holds nearly all of it, named by its generalised path (tags with their class words, digits dropped). Votes are counted per
-host and path in Spark, and each page is then parsed again and cut at the container that most pages of its host chose,
-among those it has, or at its own choice.
+Every page is parsed once for a vote: the text of its containers, without boilerplate, picks the smallest
+container that holds nearly all of it (a block that is mostly links weighs nothing, whatever its class), named by its generalised path (a
+hash of the tags with their class words, digits dropped, from the root down to any depth). Votes are counted per host and path in
+Spark, and each page is then parsed again and cut at the container that most pages of its host chose, among those it has, or at
+its own choice. All paths are winners that REPEATED_SHARE of the host's pages chose, so at most 1 / REPEATED_SHARE of them.
 
 A page is cut at a container only if every block of text outside it is known to be boilerplate: it stands outside the
 choice of at least REPEATED pages of the host with unlike text inside, and of REPEATED_SHARE of all its pages. Otherwise
@@ -19,8 +20,8 @@ such an element or if all its words are such names ('comments-open' keeps it). C
 Null and empty html, and pages of boilerplate alone, give an empty text. A null or odd url belongs to the host ''. Each row
 of ``pages`` gives one row; equal rows give equal ones. Unclosed and truncated markup is read as far as it goes. Votes are
 counted before the shuffle, so a host with a third of all pages is no hot key. The table of winners is broadcast up to
-BROADCAST_HOSTS hosts of WINNERS paths of bounded length and BROADCAST_BLOCKS repeated blocks of 8 bytes; beyond that it is
-joined by host, in partitions that can be split.
+BROADCAST_HOSTS hosts and BROADCAST_BLOCKS paths and repeated blocks of 8 bytes; beyond that it is joined by host, in partitions
+that can be split. An empty table gives an empty one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,20 +29,19 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.arrow import map_rows
 from deltaloom.llm.shared import Scratch, cut
 
 SHARE = 0.85
-WINNERS = 8
 BROADCAST_HOSTS = 50_000
 BROADCAST_BLOCKS = 1_000_000
 REPEATED = 3
 REPEATED_SHARE = 0.01
-_PATH_STEPS = 12
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|([^\s=/>"']+)""")
@@ -110,13 +110,16 @@ class Page:
     """Blocks of reading text, each with the container it stands in, and the containers' parents and paths. Elements named
     as boilerplate are regions, kept or dropped once all is read; ``best`` is the path that most pages of the host chose."""
 
-    def __init__(self, source: str, best: str | None = None):
-        self.parents, self.paths = [-1], [""]
+    def __init__(self, source: str, best: int | None = None):
+        self.parents, self.paths = [-1], [0]
         self.blocks: list[tuple[int, str]] = []
-        # tag, container, dropped, in an article, region, and the regions that the outermost article and main stand in, or -1
-        self._stack: list[tuple[str, int, bool, bool, int, int, int]] = [("", 0, False, False, 0, -1, -1)]
+        self._plain: list[int] = []  # characters of each block, none if most of them are in links
+        # tag, container, dropped, in an article, region, the regions that the outermost article and main stand in, or -1, in a link
+        self._stack: list[tuple[str, int, bool, bool, int, int, int, bool]] = [("", 0, False, False, 0, -1, -1, False)]
+        self._open_tags: dict[str, int] = {}
         self._parts: list[str] = []
-        self._above, self._kinds, self._names = [-1], [_STAYS], [(0, "")]  # of the regions
+        self._linked = 0
+        self._above, self._kinds, self._names = [-1], [_STAYS], [(0, 0)]  # of the regions
         self._regions = [0]  # of the containers
         self._marks: list[tuple[int, int, int]] = []  # of the blocks: region, and as on the stack
         at, n = 0, len(source)
@@ -147,6 +150,8 @@ class Page:
     def _text(self, text: str) -> None:
         if not self._stack[-1][2]:
             self._parts.append(text)
+            if self._stack[-1][7]:
+                self._linked += len(text)
 
     def _flush(self) -> None:
         if self._parts:
@@ -154,7 +159,15 @@ class Page:
             self._parts.clear()
             if text:
                 self.blocks.append((self._stack[-1][1], text))
-                self._marks.append(self._stack[-1][4:])
+                self._plain.append(0 if 2 * self._linked > len(text) else len(text))
+                self._marks.append(self._stack[-1][4:7])
+            self._linked = 0
+
+    def _pop(self, to: int) -> None:
+        """Close the open elements from place ``to`` of the stack on."""
+        for element in self._stack[to:]:
+            self._open_tags[element[0]] -= 1
+        del self._stack[to:]
 
     def _open(self, tag: str, raw: str) -> None:
         if tag in _BLOCK:
@@ -168,7 +181,7 @@ class Page:
             self._imply(closes)
         attributes = _attributes(raw) if raw and not raw.isspace() else {}
         words = _WORDS.findall(attributes.get("class", "").lower())
-        _, container, dropped, article, region, in_article, in_main = self._stack[-1]
+        _, container, dropped, article, region, in_article, in_main, linked = self._stack[-1]
         kind = _STAYS if dropped else _boilerplate(tag, attributes, words, article)
         dropped = dropped or kind == _GOES
         if tag in _DROP or dropped or kind:
@@ -177,22 +190,22 @@ class Page:
         if kind in (_NAMED, _WHOLLY):
             self._above.append(region)
             self._kinds.append(kind)
-            self._names.append((self._names[region][0] + 1, f"{self.paths[container]}/{name}"))
+            self._names.append((self._names[region][0] + 1, _step(self.paths[container], name)))
             region = len(self._kinds) - 1
         if tag in _CONTAINER and not dropped:
             self.parents.append(container)
             self._regions.append(region)
-            parent = self.paths[container]
-            self.paths.append(f"{parent}/{name}" if parent.count("/") < _PATH_STEPS else parent)
+            self.paths.append(_step(self.paths[container], name))
             container = len(self.parents) - 1
         if tag in ("article", "main") and not _NO_ARTICLE_WORDS & {*words, *_WORDS.findall(attributes.get("id", "").lower())}:
             if tag == "article" and in_article < 0:
                 in_article = region
             if tag == "main" and in_main < 0:
                 in_main = region
-        self._stack.append((tag, container, dropped, article or tag in ("article", "main"), region, in_article, in_main))
+        self._stack.append((tag, container, dropped, article or tag in ("article", "main"), region, in_article, in_main, linked or tag == "a"))
+        self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
 
-    def _settle(self, best: str | None) -> None:
+    def _settle(self, best: int | None) -> None:
         """Drop the blocks of the regions that are boilerplate."""
         above, kinds = self._above, self._kinds
         down, up = range(1, len(kinds)), range(len(kinds) - 1, 0, -1)  # outer regions come before inner ones
@@ -222,31 +235,37 @@ class Page:
         for r in down:
             named = kinds[r] == _NAMED and (chosen[r] or 2 * by_name[self._names[r]] > total)
             keep[r] = keep[above[r]] and (keep[r] or named)
-        self.blocks = [b for b, m in zip(self.blocks, self._marks, strict=True) if keep[m[0]]]
+        stay = [keep[m[0]] for m in self._marks]
+        self.blocks, self._plain = ([x for x, s in zip(xs, stay, strict=True) if s] for xs in (self.blocks, self._plain))
 
     def _imply(self, closes: frozenset[str]) -> None:
         """Close an open element of ``closes`` that no container or list stands in front of."""
+        if not any(self._open_tags.get(tag) for tag in closes):
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             tag = self._stack[i][0]
             if tag in closes:
-                del self._stack[i:]
+                self._pop(i)
                 return
             if tag in _CONTAINER or tag in ("ul", "ol", "dl", "table", "blockquote"):
                 return
 
     def _close(self, tag: str) -> None:
+        if not self._open_tags.get(tag):
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
                 if tag in _BLOCK or self._stack[i][2] or self._stack[i][4] != self._stack[i - 1][4]:
                     self._flush()
-                del self._stack[i:]
+                self._pop(i)
                 return
 
     def totals(self) -> list[int]:
-        """Characters of text in each container, with those inside it."""
+        """Characters of blocks that are not mostly links in each container, with those inside it; of all blocks if all are."""
         out = [0] * len(self.parents)
-        for container, text in self.blocks:
-            out[container] += len(text)
+        every = not any(self._plain)
+        for (container, text), plain in zip(self.blocks, self._plain, strict=True):
+            out[container] += len(text) if every else plain
         for i in range(len(out) - 1, 0, -1):
             out[self.parents[i]] += out[i]
         return out
@@ -262,7 +281,26 @@ class Page:
                 best = i
         return best
 
-    def split(self, path: str) -> tuple[list[str], list[str]]:
+    def first_with_all(self, paths: list[int], repeated: set[int]) -> int:
+        """The first of ``paths`` whose containers hold text, and all of it that is not ``repeated``; the last is the root's, and
+        does. Containers are numbered as they begin, so those inside one follow it, and those of one path are apart."""
+        n = len(self.parents)
+        end, blocks, fresh = list(range(1, n + 1)), [0] * (n + 1), [0] * (n + 1)
+        for i in range(n - 1, 0, -1):
+            end[self.parents[i]] = max(end[self.parents[i]], end[i])
+        for container, text in self.blocks:
+            blocks[container + 1] += 1
+            fresh[container + 1] += _hash(text) not in repeated
+        blocks, fresh = list(accumulate(blocks)), list(accumulate(fresh))
+        of: dict[int, list[int]] = {}
+        for i, path in enumerate(self.paths):
+            of.setdefault(path, []).append(i)
+        for path in paths:
+            if sum(blocks[end[i]] - blocks[i] for i in of[path]) and sum(fresh[end[i]] - fresh[i] for i in of[path]) == fresh[-1]:
+                return path
+        return self.paths[0]
+
+    def split(self, path: int) -> tuple[list[str], list[str]]:
         """Blocks of the containers with ``path``, in page order, and the other blocks."""
         inside = [False] * len(self.parents)
         for i, parent in enumerate(self.parents):
@@ -274,7 +312,12 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def vote(source: str) -> tuple[str | None, int | None, list[int]]:
+def _step(path: int, name: str) -> int:
+    """The path of an element named ``name`` inside one with ``path``."""
+    return _hash(f"{path}/{name}")
+
+
+def vote(source: str) -> tuple[int | None, int | None, list[int]]:
     """Path that a page chooses, hash of the text inside and hashes of the blocks outside; no path without text."""
     page = Page(source)
     own = page.choice()
@@ -284,7 +327,7 @@ def vote(source: str) -> tuple[str | None, int | None, list[int]]:
     return page.paths[own], _hash("\n".join(inside)), sorted({_hash(t) for t in outside})
 
 
-def extract(source: str, winners: list[str] | None, repeated: set[int]) -> str:
+def extract(source: str, winners: list[int] | None, repeated: set[int]) -> str:
     page = Page(source, winners[0] if winners else None)
     at = page.choice()
     if at is None:
@@ -294,11 +337,7 @@ def extract(source: str, winners: list[str] | None, repeated: set[int]) -> str:
     while at >= 0:
         paths.append(page.paths[at])
         at = page.parents[at]
-    for path in dict.fromkeys(paths):  # the last is the root's, with nothing outside
-        inside, outside = page.split(path)
-        if inside and all(_hash(t) in repeated for t in outside):
-            break
-    return "\n".join(inside)
+    return "\n".join(page.split(page.first_with_all(paths, repeated))[0])
 
 
 def _host(url: bytes | None) -> str:
@@ -307,27 +346,22 @@ def _host(url: bytes | None) -> str:
 
 
 def host_paths(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``winners``, its paths by number of votes, then by name, and ``repeated``, hashes of the blocks that are
-    boilerplate by their number; hosts without a vote have no row."""
+    """``host``, ``winners``, its paths by number of votes, and ``repeated``, hashes of the blocks that are boilerplate by their
+    number; hosts without a vote have no row."""
 
     def rows(got: dict[str, list]) -> dict[str, list]:
         made = [vote((h or b"").decode("utf-8", "replace")) for h in got[html_col]]
         return {"host": [_host(u) for u in got[url_col]]} | {k: [x[i] for x in made] for i, k in enumerate(("path", "inside", "outside"))}
 
-    read = map_rows(pages, [url_col, html_col], "host string, path string, inside long, outside array<long>", rows, 64)
+    read = map_rows(pages, [url_col, html_col], "host string, path long, inside long, outside array<long>", rows, 64)
     votes = scratch.written(read.filter("path IS NOT NULL"), "votes")
-    counts = votes.groupBy("host", "path").count()
-    order = Window.partitionBy("host").orderBy(F.desc("count"), "path")
-    winners = (
-        counts.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= WINNERS)
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("ranked"))
-        .select("host", F.col("ranked.path").alias("winners"))
-    )
-    seen = votes.select("host", "inside", F.explode("outside").alias("block")).distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
     n_pages = votes.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    often = seen.filter(F.col("n") >= REPEATED).join(n_pages, "host").filter(F.col("n") >= REPEATED_SHARE * F.col("n_pages"))
+    share = F.col("n") >= REPEATED_SHARE * F.col("n_pages")
+    chosen = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).join(n_pages, "host").filter(share)
+    ranked = chosen.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))).alias("ranked"))
+    winners = ranked.select("host", F.col("ranked.path").alias("winners"))
+    seen = votes.select("host", "inside", F.explode("outside").alias("block")).distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    often = seen.filter(F.col("n") >= REPEATED).join(n_pages, "host").filter(share)
     return winners.join(often.groupBy("host").agg(F.collect_list("block").alias("repeated")), "host", "left")
 
 
@@ -336,7 +370,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     scratch = Scratch()
     winners = cut(host_paths(pages, scratch, url_col, html_col))
     scratch.drop()
-    hosts, blocks = winners.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("repeated"), F.lit(0))), F.lit(0))).first()
+    held = F.size("winners") + F.greatest(F.size("repeated"), F.lit(0))
+    hosts, blocks = winners.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
     if hosts <= BROADCAST_HOSTS and blocks <= BROADCAST_BLOCKS:
         winners = F.broadcast(winners)
     host = F.lower(F.substring(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), 1, 255))
