@@ -5,20 +5,27 @@ A window is WINDOW consecutive words. Every word inside a window whose words als
 Suffixes are taken at anchors: positions whose PREFIX-word hash is the least of some window around them, so each window holds
 an anchor at a place that its words alone decide, and equal windows hold the same one. The anchors of a
 text with one prefix (many in periodic text) are one row with packed positions, and those whose surroundings are the same words
-are one suffix that counts as several. Anchors whose prefix occurs once are dropped. The others are dealt by prefix into groups that fit in memory; a prefix of more than GROUP suffixes is split into
-several. For each group the suffixes are sorted, and the lengths of common prefixes of neighbours give the tree: the nodes of
-depth d are the runs of neighbours that agree in d words. A node is deep enough for a window that reaches l words left of the
-anchor if d = WINDOW - l, and the window repeats if two of the node's leaves also agree in their l words on the left. The
-parts of a split prefix name each window that they hold once by its hash, and those that several parts name are repeats.
-
-Words are compared by 48 bits of their hashes, and a window of 35 by all of its words. Texts are tied to their marks by a
-64-bit hash of id and text, so rows that repeat an id are told apart, and rows that repeat both are each other's copies.
-Null and empty texts have no words. Windows are judged on the input. The texts are shuffled once for both uses.
+are one suffix that counts as several. Anchors whose prefix occurs once are dropped; the others are dealt by prefix into groups
+that fit in memory. For each group the suffixes are sorted, and the lengths of common prefixes of neighbours give the tree: the
+nodes of depth d are the runs of neighbours that agree in d words. A node is deep enough for a window that reaches l words left
+of the anchor if d = WINDOW - l, and the window repeats if two of the node's leaves also agree in their l words on the left.
+
+A prefix with more than GROUP suffixes is lengthened. All windows that reach between a and b words left of an anchor hold the
+words from a before it to WINDOW - b after it, so the narrower the range of reaches, the longer the prefix that its suffixes,
+beginning a words before the anchor, are dealt by: PREFIX words for all reaches, then about 30 for a few of them, at last the
+whole window for a single one. A group that fits is a subtree; one whose prefix is a whole window has equal suffixes only, and
+then each of them repeats, however many they are. So no group is too large for a task and none is split but between equal ones.
+
+Words are compared by 48 bits of their hashes, and a window of 35 by all of its words. Texts are tied to their marks by 128 bits
+of a digest of id and text, so rows that repeat an id are told apart, and rows that repeat both are each other's copies.
+Null and empty texts have no words, and an empty table gives an empty one. Windows are judged on the input. Other columns are
+not read, or pass through unchanged in ``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,11 +36,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from deltaloom.llm import words
 from deltaloom.llm.arrow import add_columns, schema
-from deltaloom.llm.shared import Scratch, written
+from deltaloom.llm.shared import Scratch, bound_batches, written
 
 WINDOW = 35
 PREFIX = 8
-GROUP = 16_384
+GROUP = 2_048
+AT_ONCE = 16_384  # suffixes of whole groups that are handled together
+BROADCAST_GROUPS = 1_000_000
 _BYTES = 6
 _U = np.uint64
 
@@ -63,12 +72,15 @@ def _batch(columns: list[np.ndarray | list], to: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, to, strict=True)], schema=to)
 
 
-#: ``pos`` holds positions as little-endian 32-bit integers, ``n`` of them; ``many`` says that there are several.
-_ANCHORS = schema("prefix long, rid long, n int, pos binary")
-_SUFFIXES = schema("prefix long, part int, split boolean, rid long, pos binary, many boolean, before int, words binary")
-_MARKS = schema("rid long, pos binary, mask long, window_hash long, times int")
+#: ``pos`` holds positions as little-endian 32-bit integers, ``n`` of them. Suffixes are dealt by k1 and k2 for the windows that
+#: reach between ``low`` and ``high`` words left of the anchor.
+_ANCHORS = schema("prefix long, rid binary, n int, pos binary")
+_SUFFIXES = schema("k1 long, k2 long, low int, high int, rid binary, pos binary, n int, before int, words binary")
+_MARKS = schema("rid binary, pos binary, mask long")
+_DEALT = ["k1", "k2", "low", "high"]
+_RID = 16
 _POS = np.dtype("<i4")
-_AT_ONCE = 1 << 20
+_POSITIONS = 1 << 20
 
 
 def _by_prefix(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +100,9 @@ def _find_anchors(window: int, prefix: int) -> Callable:
         to = to_arrow_schema(_ANCHORS)
 
         def flush(made: list[tuple]) -> pa.RecordBatch:
-            prefixes, rids, counts, positions = (np.concatenate(c) for c in zip(*made, strict=True))
+            prefixes, counts, positions = (np.concatenate([m[i] for m in made]) for i in (1, 2, 3))
+            each = np.frombuffer(b"".join(m[0] for m in made), np.uint8).reshape(-1, _RID).repeat([len(m[1]) for m in made], axis=0)
+            rids = _packed(np.full(len(each), _RID // _POS.itemsize), each)
             return _batch([prefixes, rids, counts.astype(np.int32), _packed(counts, positions)], to)
 
         for batch in batches:
@@ -98,9 +112,9 @@ def _find_anchors(window: int, prefix: int) -> Callable:
             held = 0
             for rid, text in zip(rids, texts, strict=True):
                 prefixes, counts, positions = _by_prefix(*anchors(words.hash_words(text.as_py() or b"")[0], window, prefix))
-                made.append((prefixes, np.full(len(prefixes), rid, np.int64), counts, positions))
+                made.append((rid, prefixes, counts, positions))
                 held += len(positions)
-                if len(made) == 512 or held >= _AT_ONCE:
+                if len(made) == 512 or held >= _POSITIONS:
                     yield flush(made)
                     made, held = [], 0
             if made:
@@ -109,11 +123,6 @@ def _find_anchors(window: int, prefix: int) -> Callable:
     return run
 
 
-def _part(rid: int, pos: int, parts: int) -> int:
-    """One of ``parts`` parts of a split prefix."""
-    return int(words.mix(words.mix(np.array([rid], np.int64).view(_U)) + _U(pos))[0] % _U(parts)) if parts > 1 else 0
-
-
 def _cut_suffixes(rid: int, text: int, lists: int, window: int, prefix: int) -> Callable:
     """From rows with rid, text and lists of anchors at those places, the words around each anchor; anchors of a text with
     equal surroundings are one suffix."""
@@ -134,8 +143,7 @@ def _cut_suffixes(rid: int, text: int, lists: int, window: int, prefix: int) ->
                         low, high = max(0, pos - left), min(len(h), pos + window)
                         around.setdefault((pos - low, packed[low * _BYTES : high * _BYTES]), []).append(pos)
                     for (before, cut), at in around.items():
-                        part = _part(row, at[0], a["parts"])
-                        values = (a["prefix"], part, a["parts"] > 1, row, np.array(at, _POS).tobytes(), len(at) > 1, before, cut)
+                        values = (a["prefix"], 0, 0, left, row, np.array(at, _POS).tobytes(), len(at), before, cut)
                         for column, value in zip(made, values, strict=True):
                             column.append(value)
                 if len(made[0]) >= 4096:
@@ -163,65 +171,49 @@ def _unpack(cuts: list[bytes], before: np.ndarray, window: int, prefix: int) ->
 
 
 def repeats(
-    group: np.ndarray, split: np.ndarray, many: np.ndarray, before: np.ndarray, cuts: list[bytes], window: int, prefix: int
-) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """For each suffix the mask of its repeated windows (bit l: the window that begins l words before the anchor), and for
-    split groups (suffix, l, window hash, times) once for each distinct window, times being 1 or 2 (or more). The windows of a suffix that
-    stands for many repeat by themselves."""
+    group: np.ndarray, low: np.ndarray, high: np.ndarray, many: np.ndarray, before: np.ndarray, cuts: list[bytes], window: int, prefix: int
+) -> np.ndarray:
+    """For each suffix the mask of its repeated windows (bit l: the window that begins l words before the anchor), of those
+    between ``low`` and ``high``. The windows of a suffix that stands for many repeat by themselves."""
     left, right, after = _unpack(cuts, before, window, prefix)
     order = np.lexsort((*right.T[::-1], group))
     g, right_, left_ = group[order], right[order], left[order]
-    before_, after_, split_, many_ = before[order], after[order], split[order], many[order]
+    before_, after_, low_, high_, many_ = before[order], after[order], low[order], high[order], many[order]
     same = np.concatenate([(g[1:] == g[:-1])[:, None], right_[1:] == right_[:-1]], axis=1)
     common = np.concatenate(([-1], np.where(same[:, 0], np.logical_and.accumulate(same, axis=1).sum(axis=1) - 1, -1)))
     mask = np.zeros(len(g), dtype=np.int64)
-    named: list[tuple[int, int, int, int]] = []
     reach = np.zeros(len(g), dtype=_U)
     for l in range(window - prefix + 1):
         if l:
             reach = words.mix(reach + left_[:, l - 1]) + _U(l)
         depth = window - l
         node = np.cumsum(common < depth).astype(_U)
-        whole = np.flatnonzero((before_ >= l) & (after_ >= depth))
-        key = words.mix(reach[whole] ^ words.mix(node[whole]))
-        again = words.repeated(key) | many_[whole]
+        whole = np.flatnonzero((before_ >= l) & (after_ >= depth) & (low_ <= l) & (l <= high_))
+        again = words.repeated(words.mix(reach[whole] ^ words.mix(node[whole]))) | many_[whole]
         mask[whole[again]] |= 1 << l
-        if split_[whole].any():
-            part = whole[split_[whole]]
-            content = reach[part]
-            for j in range(depth):
-                content = words.mix(content + right_[part, j]) + _U(j)
-            _, first, of, times = np.unique(words.mix(content ^ words.mix(g[part].astype(_U))), return_index=True, return_inverse=True, return_counts=True)
-            times = times + np.bincount(of, weights=many_[part]).astype(np.int64)
-            for i, t in zip(first.tolist(), times.tolist(), strict=True):
-                named.append((int(order[part[i]]), l, int(content[i].astype(np.int64)), min(t, 2)))
     out = np.zeros_like(mask)
     out[order] = mask
-    return out, named
+    return out
 
 
 def _grow_trees(window: int, prefix: int) -> Callable:
-    """Suffixes that come group by group, to their marks. Whole groups are handled together, about GROUP suffixes at once."""
+    """Suffixes that come group by group, to their marks. Whole groups are handled together, about AT_ONCE suffixes at once."""
+
+    def keys(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column(k).to_numpy().astype(np.int64) for k in _DEALT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = to_arrow_schema(_MARKS)
 
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in ("prefix", "part")])
-            group = np.cumsum(np.concatenate(([0], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-            rid, before = (table.column(k).to_numpy() for k in ("rid", "before"))
-            split, many = (table.column(k).to_numpy(zero_copy_only=False) for k in ("split", "many"))
-            pos = pa.array(table.column("pos").to_pylist(), pa.binary())
-            mask, named = repeats(group, split, many, before.astype(np.int64), table.column("words").to_pylist(), window, prefix)
-            hit = np.flatnonzero(mask)
-            none = [None] * len(hit)
-            yield _batch([rid[hit], pos.take(pa.array(hit)), mask[hit], none, none], to)
-            for at in range(0, len(named), 1 << 16):
-                some = named[at : at + (1 << 16)]
-                who = np.array([x[0] for x in some], dtype=np.int64)
-                bit = np.array([1 << x[1] for x in some], dtype=np.int64)
-                yield _batch([rid[who], pos.take(pa.array(who)), bit, [x[2] for x in some], [x[3] for x in some]], to)
+            of = keys(table)
+            group = np.cumsum(np.concatenate(([0], (of[:, 1:] != of[:, :-1]).any(axis=0))))
+            n, before = (table.column(k).to_numpy().astype(np.int64) for k in ("n", "before"))
+            mask = repeats(group, of[2], of[3], n > 1, before, table.column("words").to_pylist(), window, prefix)
+            hit = pa.array(np.flatnonzero(mask))
+            rid, pos = (pa.array(table.column(k).take(hit).to_pylist(), pa.binary()) for k in ("rid", "pos"))
+            yield _batch([rid, pos, mask[mask != 0]], to)
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -230,10 +222,10 @@ def _grow_trees(window: int, prefix: int) -> Callable:
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= GROUP:
+            if rows >= AT_ONCE:
                 table = pa.Table.from_batches(held).combine_chunks()
-                keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in ("prefix", "part")])
-                ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+                of = keys(table)
+                ends = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
                 if len(ends):
                     yield from flush(table.slice(0, int(ends[-1])).to_batches())
                     held = table.slice(int(ends[-1])).to_batches()
@@ -246,28 +238,63 @@ def _grow_trees(window: int, prefix: int) -> Callable:
     return run
 
 
+def _trees(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
+    return suffixes.repartition(*_DEALT).sortWithinPartitions(*_DEALT).mapInArrow(_grow_trees(window, prefix), _MARKS)
+
+
+def _lengthened(suffixes: DataFrame, width: int, window: int) -> DataFrame:
+    """Suffixes dealt by longer prefixes: a row for each part of ``width`` of its range of reaches, its words and key cut to that."""
+    starts = F.sequence(F.col("low"), F.col("high"), F.lit(width))
+    parts = F.transform(starts, lambda a: F.struct(a.alias("low"), F.least(a + (width - 1), F.col("high")).alias("high")))
+    rows = suffixes.select("rid", "pos", "n", "before", "words", F.explode(parts).alias("part")).select("rid", "pos", "n", "before", "words", "part.*")
+    whole = f"before >= low AND length(words) div {_BYTES} - before >= {window} - high"
+    words_of = F.expr(f"substring(words, (before - low) * {_BYTES} + 1, ({window} - high + low) * {_BYTES})")
+    around = F.expr(f"substring(words, (before - least(before, high)) * {_BYTES} + 1, (least(before, high) + {window} - low) * {_BYTES})")
+    keyed = rows.filter(whole).withColumns({"k1": F.xxhash64(F.lit(1), words_of), "k2": F.xxhash64(F.lit(2), words_of), "words": around})
+    return keyed.withColumn("before", F.least("before", "high")).select(*[f.name for f in _SUFFIXES])
+
+
 def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """``docs``, which has a column ``rid``, with ``marks``: an array of (pos, mask) of its anchors with repeated windows, or null.
 
     A prefix has a row for each text, however often the text repeats it; ``often`` is written so that both sides of the join
     are plain tables, of which a hot prefix can be split at run time."""
-    early, late = Scratch(), Scratch()
+    bound_batches(docs.sparkSession)
+    early, late, marks = Scratch(), Scratch(), []
     found = early.written(docs.select("rid", text_col).mapInArrow(_find_anchors(window, prefix), _ANCHORS), "anchors")
     often = early.written(found.groupBy(F.col("prefix").alias("twice")).agg(F.sum("n").alias("times")).filter("times > 1"), "often")
-    parts = F.ceil(F.col("times") / group).cast("int").alias("parts")
-    kept = found.join(often, found["prefix"] == often["twice"]).select("rid", F.struct("prefix", "pos", parts).alias("anchor"))
+    kept = found.join(often, found["prefix"] == often["twice"]).select("rid", F.struct("prefix", "pos", (F.col("times") > group).alias("over")).alias("anchor"))
     lists = late.written(kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors")), "lists")
+    any_over = not often.filter(F.col("times") > group).isEmpty()
     early.drop()
-    near = docs.join(lists, docs["rid"] == lists["__rid"])
-    places = (near.columns.index("rid"), near.columns.index(text_col), near.columns.index("anchors"))
-    suffixes = near.mapInArrow(_cut_suffixes(*places, window, prefix), _SUFFIXES)
-    trees = suffixes.repartition("prefix", "part").sortWithinPartitions("prefix", "part").mapInArrow(_grow_trees(window, prefix), _MARKS)
-    marks = written(trees, "marks")
+
+    def suffixes(over: bool) -> DataFrame:
+        some = lists.withColumn("anchors", F.filter("anchors", lambda a: a["over"] == F.lit(over))).filter(F.size("anchors") > 0)
+        near = docs.select("rid", text_col).join(some, docs["rid"] == some["__rid"])
+        places = tuple(near.columns.index(c) for c in ("rid", text_col, "anchors"))
+        return near.mapInArrow(_cut_suffixes(*places, window, prefix), _SUFFIXES)
+
+    marks.append(written(_trees(suffixes(False), window, prefix), "marks"))
+    reaches = window - prefix + 1
+    held, now = Scratch(), suffixes(True)
+    for width in [math.isqrt(reaches) + 1, 1] if any_over else []:
+        turn = Scratch()
+        longer = turn.written(_lengthened(now, width, window), "longer")
+        held.drop()
+        held = turn
+        counts = longer.groupBy(*_DEALT).agg(F.sum("n").alias("times")).filter(F.col("times") > group).select(*_DEALT)
+        large = held.written(counts, "large")
+        small = large.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+        large = F.broadcast(large) if small else large
+        marks.append(written(_trees(longer.join(large, _DEALT, "left_anti"), window, prefix), "marks"))
+        now = longer.join(large, _DEALT, "left_semi")
+        if width == 1:  # equal windows all, and more than one
+            marks.append(written(now.select("rid", "pos", F.expr("shiftleft(1L, low)").alias("mask")), "marks"))
+    held.drop()
     late.drop()
-    named = marks.filter("window_hash IS NOT NULL")
-    over = named.groupBy(F.col("window_hash").alias("same")).agg(F.sum("times").alias("all")).filter("all > 1")
-    across = named.join(over, named["window_hash"] == over["same"]).select("rid", "pos", "mask")
-    every = marks.filter("window_hash IS NULL").select("rid", "pos", "mask").unionByName(across)
+    every = marks[0]
+    for some in marks[1:]:
+        every = every.unionByName(some)
     of_row = every.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))
     return docs.join(of_row, docs["rid"] == of_row["__rid"], "left").drop("__rid")
 
@@ -287,7 +314,9 @@ def keep_words(data: bytes, marks: list[dict] | None, window: int) -> tuple[int,
 
 
 def with_rid(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumn("rid", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    """``df`` with ``rid``, sixteen bytes that tell rows of unlike id or text apart."""
+    whose = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return df.withColumn("rid", F.unhex(F.md5(F.concat_ws("\n", whose, F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))))
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, texts: bool = False) -> DataFrame:
