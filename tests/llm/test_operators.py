@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -74,13 +75,42 @@ def test_bpe_scan_equals_heap():
 def test_quality_classifier(spark, odd, none):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = quality_classifier.fit(docs, labels)
-    got = quality_classifier.score(odd.select("doc_id", "text"), model).collect()
+    got = quality_classifier.score(odd, model)
+    assert got.columns == [c for c in odd.columns if c != "score"] + ["score"]
+    got = got.collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert [r["text"] for r in quality_classifier.score(odd, model, out_col="TEXT").limit(0).collect()] == []
     assert quality_classifier.score(none.select("doc_id", "text"), model).count() == 0
     blank = quality_classifier.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality_classifier.score(odd.select("text"), blank).collect()} == {0.5}
 
 
+def test_quality_classifier_trains_on_whole_texts():
+    """A text of more than 16,384 words has all its passages, and the sample is bounded by documents that fit whole."""
+    long = _text(9, 20_000).encode()
+    assert len(quality_classifier.passages(long)) == -(-20_000 // quality_classifier.PASSAGE)
+    assert quality_classifier._that_fit([(1, 5), (2, 100), (3, 4), (4, 2)], 10) == [1, 3]
+
+
+def test_quality_classifier_gradient():
+    """Against finite differences."""
+    rng = np.random.default_rng(2)
+    model = quality_classifier.Model.start(3)
+    model.p = {k: (v + rng.normal(size=v.shape) / 5).astype(np.float64) for k, v in model.p.items()}
+    x, sizes, y = rng.normal(size=(9, quality_classifier.WIDTH)), np.array([4, 2, 3]), np.array([1.0, 0.0, 1.0])
+    loss = lambda: -float(np.mean(y * np.log(s := model.forward(x, sizes)["score"]) + (1 - y) * np.log(1 - s)))
+    grad = model.gradient(x, sizes, y, 0.0)
+    for k, v in model.p.items():
+        at = tuple(int(rng.integers(n)) for n in v.shape)
+        kept = v[at]
+        v[at] = kept + 1e-5
+        up = loss()
+        v[at] = kept - 1e-5
+        down = loss()
+        v[at] = kept
+        assert math.isclose((up - down) / 2e-5, grad[k][at], rel_tol=1e-3, abs_tol=1e-7)
+
+
 def test_quality_classifier_held_out_accuracy(spark):
     sf = SF.replace("0.001", "0.01")
     got = quality_classifier.op2_quality_classifier(spark, sf).filter("held_out")
@@ -114,9 +144,42 @@ def test_mixing(spark, odd, none):
         assert abs(taken[s] - want[s]) < 0.02 * want[s]
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
+    small = mixing.mix(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
+    for r in small.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) < 0.02 * r["target"]
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixing_ranks_by_odds(spark):
+    """What is taken beyond the certain copies: the least odds divided by the odds of a chance in proportion to size, ties together."""
+    rng = random.Random(4)
+    rows = [(i, _text(i, rng.choice((3, 20, 90, 400))), "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string, source string")
+    found = {r["source"]: r for r in mixing.cuts(df).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    uniform = {r[0]: r[1] for r in df.select("doc_id", mixing._uniform("doc_id", 7)).collect()}
+    for source in "ab":
+        of, words_ = found[source], {i: len(t.split()) for i, t, s in rows if s == source}
+        if not of["rest"]:
+            assert {got[i]["copies"] for i in words_} == {of["whole"]} == {2}
+            continue
+        chance = {i: min(1.0, (of["slope"] or 0) * 2 ** (round(4 * math.log2(n)) / 4)) for i, n in words_.items()}
+        expected = sum(chance[i] * n * (3 if i == 0 else 1) for i, n in words_.items())
+        assert math.isclose(expected, of["rest"], rel_tol=1e-9, abs_tol=1e-6)
+        extra = {i for i in words_ if got[i]["copies"] > of["whole"]}
+        odds = {i: uniform[i] / (1 - uniform[i]) * (1 - chance[i]) / chance[i] for i in words_}
+        order = sorted(words_, key=odds.get)
+        total, left = 0, set()
+        for at, i in enumerate(order):
+            total += words_[i] * (3 if i == 0 else 1)
+            if total > of["rest"]:
+                left = set(order[at:])
+                break
+        assert set(words_) - left <= extra
+        taken = sum(words_[i] * (3 if i == 0 else 1) for i in extra)
+        assert abs(taken - of["rest"]) <= min(words_.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav>menu</nav>
 <div class="cookie-notice">We use</div><article><h1>Title &amp; more</h1><p>First <b>bold</b>
  words&nbsp;here<br><p>Second &#39;q&#39;<div class="ad">BUY</div><ul><li>one<li>two</ul></article>
@@ -183,6 +246,47 @@ def test_html_words_of_a_wrapper(spark):
     assert _texts(spark, pages) == want
 
 
+def test_html_vote_drops_boilerplate_of_any_class(spark):
+    """Boilerplate under classes that say nothing: links weigh nothing, and what repeats over a host stands outside the article."""
+    links = "".join(f"<a href=/{i}>Section number {i} of the whole site</a> | " for i in range(40))
+    pages, want = [], []
+    for i in range(6):
+        body = _text(500 + i, 60)
+        pages.append(("http://zz/", f"<body><div class=qa>{links}</div><div class=qb><p>{body}</p></div><div class=qc>All rights are ours and ours alone</div></body>"))
+        want.append(body)
+    assert _texts(spark, pages) == want
+    alone = _texts(spark, pages[:1])[0]
+    assert alone != want[0] and want[0] in alone  # without the vote of its host a page keeps what may be article
+
+
+def test_html_deep_pages_and_many_paths(spark):
+    deep = lambda x: "<div class=w>" * 40 + x + "</div>" * 40
+    pages, want = [], []
+    for i in range(5):
+        pages.append(("http://deep/", f"<body>{deep(f'<div class=side>See also our partners</div><div class=main>{_text(520 + i, 80)}</div>')}</body>"))
+        want.append(_text(520 + i, 80))
+    for kind in range(20):
+        for i in range(4):
+            name = "abcdefghijklmnopqrst"[kind]
+            body = _text(600 + 4 * kind + i, 80)
+            pages.append(("http://many/", f"<body><div class=x{name}>Strip of kind {name}</div><div class=m{name}>{body}</div></body>"))
+            want.append(body)
+    assert _texts(spark, pages) == want
+
+
+def test_html_time_of_odd_markup():
+    for page in ("<b>" * 120_000 + "</i>" * 120_000, "<b>" * 100_000 + "<h1></h1>" * 80_000, "<div>x" * 20_000, "<p>" + "<b>" * 100_000 + "<td>" * 100_000):
+        began = time.time()
+        html_extract.extract(page, None, set())
+        assert time.time() - began < 5
+
+
+def test_html_clashing_columns(spark):
+    rows = [(1, "http://a/1", PAGE, "t", 5, "h", "w")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, host string, winners string")
+    assert html_extract.main_text(df).first()["text"].startswith("Title & more")
+
+
 def test_warc(spark, tmp_path):
     big, odd_page = "ab\r\n\r\nc" * 40_000, "é" * 600
     rows = [(1, "u", big), (2, "u 2", big), (3, None, None), (4, "u", ""), (5, "u", odd_page), (6, "u", odd_page), (7, "u", "x" * 999), (8, "u", "x" * 999), (None, "u", odd_page)]
@@ -208,15 +312,21 @@ def test_warc_query_equals_sql(spark):
 
 
 def test_telephony(spark, odd, none):
-    got = telephony.describe_media(telephony.store_text(odd)).collect()
+    got = telephony.through_media(odd).collect()
     by_id = {r["doc_id"]: r for r in got}
     for r in odd.collect():
         payload, m = telephony.pad((r["text"] or "").encode()), by_id[r["doc_id"]]
         assert len(payload) % 64 == 0 and payload
         assert (m["n_bytes"], m["payload_bytes"], m["payload_sha256"]) == (len((r["text"] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
         assert m["tail_crc32"] == zlib.crc32(payload[-64:])
+        codec, n = telephony.codec_of(payload), len(payload)
+        pcm = {"mulaw": telephony.expand_mulaw, "alaw": telephony.expand_alaw, "ima_adpcm": telephony.decode_adpcm}[codec](payload).astype(int).tolist()
+        out = [x for a, b in zip([pcm[0], *pcm], pcm) for x in ((a + b) >> 1, b)]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:]))
+        crc = zlib.crc32(np.array(out, "<i2").tobytes())
+        assert m["feature"] == f"{codec}:16000:{len(out)}:{max(map(abs, out))}:{sum(x * x for x in out) // len(out)}:{crossings}:{crc:08x}"
     assert by_id[8]["feature"] == by_id[9]["feature"]
-    assert telephony.describe_media(telephony.store_text(none)).count() == 0
+    assert telephony.through_media(none).count() == 0
     assert telephony.decode_media(telephony.store_text(odd), keep=("doc_id",)).filter("pcm IS NULL").count() == 0
 
 
@@ -365,6 +475,45 @@ def test_substring_dedup_periodic_texts(spark, group):
     assert sorted(tuple(r)[1:] for r in got.collect()) == _without_repeats(texts + texts[:2], 35)
 
 
+def test_lm_scoring_by_brute_force(spark):
+    """The interpolated score: counts, deleted estimates, expectation-maximisation by bucket, mixture."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows}
+    tokens = {i: [*t.split(), "</s>"] for i, t in rows}
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in tokens.items():
+        if train[i]:
+            one.update(t)
+            two.update(zip(["<s>", *t], t))
+    n, v, docs = sum(one.values()), len(one), sum(train.values())
+    context = lambda w, less: (docs if w == "<s>" else one[w]) - less
+    events = collections.defaultdict(collections.Counter)
+    step = lambda p: 2.0 ** (-round(-lm_scoring.STEPS * math.log2(p)) / lm_scoring.STEPS) if p > 0 else 0.0
+    for i, t in tokens.items():
+        for a, b in zip(["<s>", *t], t) if train[i] else ():
+            c = context(a, 1)
+            pair = (two[a, b] - 1) / c if c > 0 else 0.0
+            events[int(math.log2(max(c, 0) + 1))][step(pair), step((one[b] - 1) / (n - 1))] += 1
+    weights = {}
+    for bucket, seen in events.items():
+        w = [0.3, 0.5, 0.2] if bucket else [0.0, 0.8, 0.2]
+        for _ in range(60):
+            new = [0.0, 0.5, 0.5]
+            for (p, q), times in seen.items():
+                share = [w[0] * p, w[1] * q, w[2] / (v + 1)]
+                new = [x + times * s / sum(share) for x, s in zip(new, share)]
+            w = [x / sum(new) for x in new]
+        weights[bucket] = w
+    for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t, want = tokens[r["doc_id"]], 0.0
+        for a, b in zip(["<s>", *t], t):
+            c = context(a, 0)
+            w = weights.get(int(math.log2(max(c, 0) + 1)), [0.3, 0.5, 0.2] if c else [0.0, 0.8, 0.2])
+            want += math.log10(w[0] * (two[a, b] / c if c else 0) + w[1] * one[b] / n + w[2] / (v + 1))
+        assert math.isclose(r["score"], want, rel_tol=1e-6)
+
+
 @pytest.mark.parametrize("bucket_keys", [3_000_000, 500])
 def test_lm_scoring(spark, odd, none, bucket_keys):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
