@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.shared import written
+from deltaloom.llm.shared import Scratch
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -26,15 +26,22 @@ def _star(near: DataFrame, keep: str) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``id`` and ``component``, the least id that its edges reach, for every node of ``edges`` (u, v) but the least ones."""
-    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id`` and ``component``, the least id that its edges reach, for every node of ``edges`` (u, v) but the least ones.
+
+    A round's edges are dropped once the next ones are written; ``scratch`` drops the last, which the result reads."""
+    held = Scratch()
+    now = held.written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         large = _star(_both(now), "v > u")
         ordered = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = written(_star(ordered, "v <> m"), "edges")
+        fresh = Scratch()
+        now = fresh.written(_star(ordered, "v <> m"), "edges")
+        held.drop()
+        held = fresh
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == seen:
+            scratch.take(held)
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = state

@@ -8,8 +8,11 @@ choice without a feature says nothing, so it is left out; ``spare`` more partiti
 with at most so many partitions that have such a choice, and the few sets with more keep their empty choices: of a pair in
 which both have more, both keep them. No similar pair is lost.
 
-Texts with equal sets are one class, and only its least id goes on. Classes that share a signature are compared exactly, but
-not all with all: in each bucket of a signature one member is compared with the rest, classes found linked become one
+Texts with equal sets are one class, and only its least id goes on. Of all signatures those of two or more texts go on: they are
+dealt by their value and counted. One that a sample shows to be frequent goes on untold and is dealt to PARTS parts, so that one
+which very many texts share is no hot key. Signatures have 48 bits; equal ones of unlike texts cost a comparison, nothing else.
+
+Classes that share a signature are compared exactly, but not all with all: in each bucket of a signature one member is compared with the rest, classes found linked become one
 component, and pairs inside a component need no more comparison. A member that has met all of its bucket leaves it; after
 HUB_ROUNDS such rounds, or one without a link, the members still open are narrowed by prefixes: with the features in one
 order for all, the rarest among open members first, the first feature that two similar sets share is among the first
@@ -18,10 +21,14 @@ it in both. Only pairs of different components that have such a feature are comp
 unlike texts around one passage are not paired all with all, and every similar pair has been compared or lies in one
 component. Rarity is read from CELLS hashed counts; it steers cost, not results.
 
+Before two sets are sent to each other, sizes out of reach and sketches out of reach end a comparison. A sketch has SKETCH bits,
+each the parity of the features that fall on it, so two sketches differ in at most as many bits as the sets in features: the
+bound on the symmetric difference holds for them too, and no similar pair is lost.
+
 Null, empty and wordless texts have an empty set and are linked with nothing. Texts of fewer words than a shingle have their
 whole sequence as one. Rows that repeat an id share a component. Other columns are not read. Ids of classes and candidates
 are broadcast up to BROADCAST_IDS of them, as 8 bytes each or a string; beyond that, texts are joined by shuffle.
-The sample for common features is SAMPLE texts of up to SAMPLE_CHARS characters; it steers cost, not results.
+The sample for common features and signatures is SAMPLE texts of up to SAMPLE_CHARS characters; it steers cost, not results.
 """
 
 from __future__ import annotations
@@ -44,9 +51,13 @@ from deltaloom.llm.shared import Scratch, written
 BROADCAST_IDS = 2_000_000
 HUB_ROUNDS = 3
 CELLS = 1 << 18
+SKETCH = 512
+LEAST_HOT = 20
+PARTS = 1000
 SAMPLE = 8000
 SAMPLE_CHARS = 20_000
 _U = np.uint64
+_SIGNATURE = _U((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
@@ -93,11 +104,13 @@ def _scheme(band: int, k: int, smallest: int) -> Scheme:
 
 @lru_cache(maxsize=8)
 def _bands(part: int, whole: int, largest: int) -> tuple[list[int], list[Scheme | None]]:
-    """First sizes of the bands, and the scheme of each band with the one below; None where only equal sets are similar."""
+    """First sizes of the bands, and the scheme of each band with the one below; None where only equal sets are similar.
+
+    A scheme finds pairs of both bands and pairs inside the lower one; those inside the upper are the next scheme's."""
     firsts, schemes, low, below = [], [], 1, 1
     while True:
         high = low * whole // part
-        k = 2 * high * (whole - part) // (whole + part)
+        k = (low - 1 + high) * (whole - part) // (whole + part)  # of the largest sets of both bands
         schemes.append(_scheme(len(firsts), k, below) if k else None)
         firsts.append(low)
         if low > largest:
@@ -123,21 +136,19 @@ def signatures(features: np.ndarray, part: int, whole: int, common: np.ndarray |
     return np.concatenate([_of_scheme(features, s) for s in schemes[band : band + 2] if s] or [np.empty(0, _U)])
 
 
-def common_features(sets: list[np.ndarray], least: int = 5) -> np.ndarray:
-    """Features, sorted, of at least ``least`` of ``sets`` whose least features mostly differ: passages that unlike texts
-    share, not the features of one group of near copies."""
-    owner = np.concatenate([np.full(len(s), s[0]) for s in sets if len(s)] or [np.empty(0, _U)])
-    feature = np.concatenate([s for s in sets if len(s)] or [np.empty(0, _U)])
-    order = np.lexsort((owner, feature))
-    feature, owner = feature[order], owner[order]
-    first = np.concatenate(([True], feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, bool)
-    fresh = first | np.concatenate(([False], owner[1:] != owner[:-1])) if len(feature) else first
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return feature
-    rows = np.diff(np.concatenate((starts, [len(feature)])))
-    owners = np.add.reduceat(fresh.astype(np.int64), starts)
-    return feature[starts][(owners >= least) & (2 * owners >= rows)]
+def common_features(sets: DataFrame, least: int = 5) -> np.ndarray:
+    """Features, sorted, of at least ``least`` of ``sets`` (features) whose least features mostly differ: passages that unlike
+    texts share, not the features of one group of near copies. ``sets`` is a sample, so that its features are few."""
+
+    def spread(batches):
+        for batch in batches:
+            for s in batch.column(0):
+                x = np.frombuffer(s.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x[0] if len(x) else 0)), pa.array(x)], names=["owner", "feature"])
+
+    each = sets.select("features").mapInArrow(spread, "owner long, feature long").groupBy("feature", "owner").agg(F.count(F.lit(1)).alias("n"))
+    both = each.groupBy("feature").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n")).filter(f"owners >= {least} AND 2 * owners >= n")
+    return np.sort(both.select("feature").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
 
 
 def _of_scheme(x: np.ndarray, s: Scheme) -> np.ndarray:
@@ -177,12 +188,34 @@ def _first_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return short.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"))
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Parities of the features on SKETCH bits."""
+    bits = np.bincount((words.mix(features ^ _U(0x5BD1E9955BD1E995)) % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _in_reach(pairs: DataFrame, sketches: DataFrame, part: int, whole: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and sketches (id, n, sketch) allow that they are similar."""
+    right = pairs.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    both = right.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    sized = both.filter(F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _U).reshape(batch.num_rows, -1) for i in (3, 4))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                keep = apart * (whole + part) <= (whole - part) * batch.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return sized.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(near, f"a {kind}, b {kind}")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar, as (u, v)."""
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("features").alias("set_b")), "b")
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("features").alias("set_a"))
-    sized = (F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part)
-    both = right.join(left, "a").filter(sized)
+    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("features").alias("set_b")), "b")
+    both = right.join(sets.select(F.col("id").alias("a"), F.col("features").alias("set_a")), "a")
 
     def compare(batches):
         for batch in batches:
@@ -223,8 +256,8 @@ def _by_prefix(members: DataFrame, sets: DataFrame, part: int, whole: int, scrat
 
     cells = own.select("features").mapInArrow(count, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
     counts = np.zeros(CELLS, np.int64)
-    for cell, times in cells.collect():  # CELLS rows at most
-        counts[cell] = times
+    table = cells.toArrow()  # CELLS rows at most
+    counts[table.column("cell").to_numpy()] = table.column("times").to_numpy()
 
     def head(got: dict[str, list]) -> dict[str, list]:
         heads = [prefix(np.frombuffer(s, dtype=_U), counts, part, whole).view(np.int64) for s in got["features"]]
@@ -243,11 +276,16 @@ def _by_prefix(members: DataFrame, sets: DataFrame, part: int, whole: int, scrat
 
 
 def _in_components(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """``buckets`` (sig, id) still to compare: with the component of each member, without buckets of one component."""
+    """``buckets`` (sig, id, n) still to compare: with the component of each member, without buckets of one component."""
     of = buckets.join(found.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = Window.partitionBy("sig")
-    mixed = of.withColumns({"low": F.min("component").over(spread), "high": F.max("component").over(spread)})
-    return mixed.filter("low <> high").select("sig", "id", "component")
+    ends = of.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return of.join(ends.filter("low <> high").select("sig"), "sig").select("sig", "id", "n", "component")
+
+
+def _hot_signatures(signed: DataFrame) -> np.ndarray:
+    """Signatures, sorted, of at least LEAST_HOT texts of a sample."""
+    often = signed.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_HOT)
+    return np.sort(often.select("sig").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
 
 
 def near_duplicates(
@@ -265,14 +303,11 @@ def near_duplicates(
         sets = [features(t) for t in got["text"]]
         return {"id": got["id"], "n": [len(s) for s in sets], "key": [_class_key(s) if len(s) else None for s in sets]}
 
-    def sign(got: dict[str, list]) -> dict[str, list]:
-        return {"id": got["id"], "sigs": [signatures(features(t), part, whole, common).view(np.int64) for t in got["text"]]}
-
     def spell(got: dict[str, list]) -> dict[str, list]:
         sets = [features(t) for t in got["text"]]
-        return {"id": got["id"], "n": [len(s) for s in sets], "features": [s.tobytes() for s in sets]}
+        return {"id": got["id"], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "features": [s.tobytes() for s in sets]}
 
-    scratch = Scratch()
+    scratch, spelling = Scratch(), f"id {kind}, n long, sketch binary, features binary"
     classes = written(map_rows(docs, ["id", "text"], f"id {kind}, n long, key binary", classify), "classes")
     least = classes.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_rows"))
     firsts = written(least.select("key", "first", "n_rows"), "firsts")
@@ -280,49 +315,75 @@ def near_duplicates(
     copies = scratch.written(copied.join(firsts.select(F.col("first").alias("id")), "id", "left_anti"), "copies")
 
     sample = firsts.orderBy("key").limit(SAMPLE).select(F.col("first").alias("id"))
-    spelled = map_rows(_first_texts(docs, sample), ["id", "text"], f"id {kind}, n long, features binary", spell, 64)
-    common = common_features([np.frombuffer(x, dtype=_U) for _, x in sorted((x["id"], x["features"]) for x in spelled.collect())])
-
-    signed = map_rows(_only(docs.filter("id IS NOT NULL"), copies, "left_anti"), ["id", "text"], f"id {kind}, sigs array<long>", sign, 64)
-    rows = signed.select("id", F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig")
-    shared = rows.withColumns({"low": F.min("id").over(bucket), "high": F.max("id").over(bucket)}).filter("low <> high")
-    buckets = scratch.written(shared.select("sig", "id"), "buckets").distinct()
+    sampled = scratch.written(map_rows(_first_texts(docs, sample), ["id", "text"], spelling, spell, 64), "sample")
+    common = common_features(sampled)
+
+    def signatures_of(s: np.ndarray) -> np.ndarray:
+        return np.unique(signatures(s, part, whole, common) & _SIGNATURE)
+
+    def sign_sets(got: dict[str, list]) -> dict[str, list]:
+        return {"sigs": [signatures_of(np.frombuffer(s, _U)).view(np.int64) for s in got["features"]]}
+
+    hot = _hot_signatures(map_rows(sampled, ["features"], "sigs array<long>", sign_sets, 64))
+
+    def sign(got: dict[str, list]) -> dict[str, list]:
+        """A signature's high bits are 0, or for a hot one the part, 1 to PARTS, that the text is dealt to."""
+        sets, sigs = [features(t) for t in got["text"]], []
+        for x in sets:
+            code = signatures_of(x)
+            if len(hot) and len(code):
+                dealt = (words.mix(x[:1]) % _U(PARTS) + _U(1)) << _U(48)
+                code = np.where(hot[np.minimum(np.searchsorted(hot, code), len(hot) - 1)] == code, code | dealt, code)
+            sigs.append(code.view(np.int64))
+        return {"id": got["id"], "n": [len(x) for x in sets], "sigs": sigs}
+
+    to_sign = _only(docs.filter("id IS NOT NULL"), copies, "left_anti")
+    signed = map_rows(to_sign, ["id", "text"], f"id {kind}, n long, sigs array<long>", sign, 64).select("id", "n", F.explode("sigs").alias("code"))
+    times = signed.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("code")))
+    sig = F.col("code").bitwiseAND(F.lit(int(_SIGNATURE)))
+    buckets = scratch.written(times.filter((F.col("times") > 1) | (F.col("code") != sig)).select(sig.alias("sig"), "id", "n"), "buckets")
     candidates = scratch.written(buckets.select("id").distinct(), "candidates")
-    spelled = map_rows(_only(docs, candidates, "left_semi"), ["id", "text"], f"id {kind}, n long, features binary", spell, 64)
-    sets = scratch.written(spelled, "sets")
+    sets = scratch.written(map_rows(_only(docs, candidates, "left_semi"), ["id", "text"], spelling, spell, 64), "sets")
 
-    edges, last = None, False
     found = df.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
-    open_ = buckets.withColumn("component", F.col("id"))
+    open_, last = buckets.withColumn("component", F.col("id")), False
+    mine, its = Scratch(), Scratch()  # tables of the last components, and of the round
     for round_ in itertools.count():
-        open_ = scratch.written(open_, "open")
+        before, its = its, Scratch()
+        if round_:
+            open_ = its.written(open_, "open")
+            before.drop()
         if open_.isEmpty():
             break
         if last:
-            pairs = _by_prefix(open_.select("id", "component").distinct(), sets, part, whole, scratch)
+            pairs = _by_prefix(open_.select("id", "component").distinct(), sets.select("id", "n", "features"), part, whole, its)
         else:
             if round_ == 0:
-                hubs = open_.groupBy("sig").agg(F.min("id").alias("hub"), F.min("id").alias("hub_component"))
+                hubs = open_.groupBy("sig").agg(F.min("id").alias("hub"), F.min("id").alias("hub_component"), F.min_by("n", "id").alias("hub_n"))
             else:
                 sizes = open_.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
                 main = sizes.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("most")).select("sig", F.col("most.component").alias("main"))
-                outside = open_.join(main, "sig").filter("component <> main").groupBy("sig").agg(F.min(F.struct("id", "component")).alias("h"))
-                hubs = outside.select("sig", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"))
+                outside = open_.join(main, "sig").filter("component <> main").groupBy("sig").agg(F.min(F.struct("id", "component", "n")).alias("h"))
+                hubs = outside.select("sig", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"), F.col("h.n").alias("hub_n"))
             met = open_.join(hubs, "sig").filter("component <> hub_component" if round_ else "id <> hub")
+            met = met.filter(F.least("n", "hub_n") * whole >= F.greatest("n", "hub_n") * part)
             pairs = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        linked = scratch.written(_linked(pairs, sets, part, whole), "linked")
+        reach = its.written(_in_reach(pairs, sets.select("id", "n", "sketch"), part, whole).distinct(), "reach")
+        linked = its.written(_linked(reach, sets.select("id", "features"), part, whole), "linked")
         none = linked.isEmpty()
         if not none:
-            edges = linked if edges is None else edges.unionByName(linked)
-            found = components(edges)
+            now = Scratch()
+            found = components(linked.unionByName(found.select(F.col("id").alias("u"), F.col("component").alias("v"))), now)
+            mine.drop()
+            mine = now
         if last:
             break
         last = none or round_ + 1 >= HUB_ROUNDS
         rest = open_.join(hubs.select("sig", F.col("hub").alias("id")), ["sig", "id"], "left_anti")
-        open_ = _in_components(rest.select("sig", "id"), found)
+        open_ = _in_components(rest.select("sig", "id", "n"), found)
 
-    scratch.drop()  # the result reads classes, firsts and the edges of the last components
+    its.drop()
+    scratch.drop()  # the result reads classes, firsts and the last components
     of_class = firsts.join(found.withColumnRenamed("id", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("component"))
     return classes.join(of_class, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

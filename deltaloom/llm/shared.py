@@ -7,20 +7,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to Python, whatever the number of its rows.
+ARROW_BYTES = 16 << 20
 
 #: Spark then drops an execution's shuffle files at its end; a written table needs them no more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Where none is set, as in tests on one machine, a temporary one becomes it."""
+    """The session's checkpoint folder. Where none is set, a temporary one becomes it on a single machine, as in tests; on a
+    cluster, whose executors could not read it, that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="deltaloom-"))
     return sc.getCheckpointDir()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES at most in this session, unless it sets a smaller bound itself: rows alone do not bound the
+    memory of long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -41,7 +55,7 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,6 +72,11 @@ class Scratch:
         self._paths.append((df.sparkSession, path))
         return _write(df, path)
 
+    def take(self, other: Scratch) -> None:
+        """What ``other`` holds is dropped with this one."""
+        self._paths += other._paths
+        other._paths = []
+
     def drop(self) -> None:
         for spark, path in self._paths:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
