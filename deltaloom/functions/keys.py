@@ -32,4 +32,5 @@ def within_size(df: DataFrame, key: str, value: str, max_bytes: int, percent: in
 
 
 def placement(key: Column, partitions: int) -> Column:
-    return F.pmod(F.crc32(key.cast("binary")), F.lit(partitions)).cast("int")
+    """Partition of a key, by the first 32 bits of its MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(partitions)).cast("int")

@@ -38,11 +38,11 @@ def email(c: Column) -> Column:
 
 
 def mobile(c: Column) -> Column:
-    return F.concat(F.substring(c, 1, 4), F.lit("***"), F.substring(c, 8, 1 << 20))
+    return F.concat(F.substring(c, 1, 4), F.lit("***"), F.substr(c, F.lit(8)))
 
 
 def credit_card(c: Column) -> Column:
-    return F.concat(F.substring(c, 1, 6), F.lit("******"), F.substring(c, 13, 1 << 20))
+    return F.concat(F.substring(c, 1, 6), F.lit("******"), F.substr(c, F.lit(13)))
 
 
 def telephone(c: Column) -> Column:

@@ -9,12 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaloom.operators.sizes import if_small
+
+ORDER = ("pos", "seq")
+
+
+def _order(changes: DataFrame, rest: list[str]) -> Column:
+    return F.struct(*[c for c in ORDER if c in changes.columns], F.xxhash64(*rest).alias("__tie"))
+
 
 def after_truncate(changes: DataFrame, table: list[str] | None = None) -> DataFrame:
     """Changes after the last truncation of their table."""
     if table:
         last = changes.filter("action = 'T'").groupBy(*table).agg(F.max("pos").alias("__cut"))
-        return changes.join(F.broadcast(last), table, "left").filter("action <> 'T' AND (__cut IS NULL OR pos > __cut)").drop("__cut")
+        return changes.join(if_small(last), table, "left").filter("action <> 'T' AND (__cut IS NULL OR pos > __cut)").drop("__cut")
     last = changes.agg(F.max(F.when(F.col("action") == "T", F.col("pos"))).alias("__cut"))
     return changes.crossJoin(F.broadcast(last)).filter("action <> 'T' AND (__cut IS NULL OR pos > __cut)").drop("__cut")
 
@@ -32,13 +40,13 @@ def split_key_changes(changes: DataFrame, key: str, old_key: str) -> DataFrame:
 def last_change(changes: DataFrame, keys: list[str]) -> DataFrame:
     """The last change of each key."""
     rest = [c for c in changes.columns if c not in keys]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "pos").alias("r")).select(*keys, "r.*")
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), _order(changes, rest)).alias("r")).select(*keys, "r.*")
 
 
 def upsert(target: DataFrame | None, changes: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` with ``changes``: of each key its last change, gone if that is a delete; other rows stay."""
     last = last_change(changes, keys)
-    values = [c for c in changes.columns if c not in ("action", "pos")]
+    values = [c for c in changes.columns if c not in ("action", *ORDER)]
     alive = last.filter("action <> 'D'").select(*values)
     if target is None:
         return alive
@@ -47,8 +55,8 @@ def upsert(target: DataFrame | None, changes: DataFrame, keys: list[str]) -> Dat
 
 def insert_new(target: DataFrame | None, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Inserts that conflict with an earlier row do nothing."""
-    values = [c for c in changes.columns if c not in ("action", "pos", *keys)]
-    first = changes.filter("action = 'I'").groupBy(*keys).agg(F.min_by(F.struct(*values), "pos").alias("r")).select(*keys, "r.*")
+    values = [c for c in changes.columns if c not in ("action", *ORDER, *keys)]
+    first = changes.filter("action = 'I'").groupBy(*keys).agg(F.min_by(F.struct(*values), _order(changes, values or keys)).alias("r")).select(*keys, "r.*")
     return first if target is None else target.unionByName(first.join(target.select(*keys), keys, "left_anti"))
 
 
@@ -89,3 +97,41 @@ def latest_version(documents: DataFrame, id_col: str = "id", version: str = "ver
 def needs_text_copy(types: Column) -> Column:
     """Column types that only a text copy can carry."""
     return F.exists(types, lambda t: t.isin("cube", "ltree", "enum"))
+
+
+def writes(events: DataFrame, valid: Column, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Events to write and dead letters, with what stopped them; strict mode fails on the first dead letter instead."""
+    judged = events.withColumn("error", F.when(~F.coalesce(valid, F.lit(False)), F.lit("rejected by the target")))
+    if strict:
+        fail = F.raise_error(F.lit("strict mode: an event was rejected by the target"))
+        return judged.filter(F.when(F.col("error").isNotNull(), fail.cast("boolean")).otherwise(F.lit(True))).drop("error"), judged.limit(0)
+    return judged.filter("error IS NULL").drop("error"), judged.filter("error IS NOT NULL")
+
+
+def statements(changes: DataFrame, lane: str, size: int = 1000) -> DataFrame:
+    """The statement that each change of a lane goes to: runs of inserts and of deletes are cut at ``size``, updates,
+    truncations and schema changes stand alone."""
+    order = Window.partitionBy(lane).orderBy("pos")
+    alone = F.col("action").isin("U", "T", "DDL")
+    run = F.sum(F.when(alone | ~F.col("action").eqNullSafe(F.lag("action").over(order)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = changes.withColumn("__run", run)
+    place = F.row_number().over(Window.partitionBy(lane, "__run").orderBy("pos"))
+    return numbered.withColumn("part", F.floor((place - 1) / F.lit(size)).cast("long")).withColumnRenamed("__run", "run")
+
+
+def writable(columns: Column, action: Column) -> Column:
+    """Columns of a write: generated ones never, those that are always an identity not in updates."""
+    return F.filter(columns, lambda c: (c["generated"] != "stored") & ~((action == "U") & (c["identity"] == "always")))
+
+
+def typed_value(kind: Column, value: Column) -> Column:
+    """Values as a target takes them: infinite times by name, empty ranges, JSON without spaces around it, whole numbers without
+    a fraction."""
+    infinite = F.when(F.lower(value).isin("infinity", "inf", "+infinity"), "infinity").when(F.lower(value).isin("-infinity", "-inf"), "-infinity")
+    return (
+        F.when(kind.isin("timestamp", "timestamptz", "date"), F.coalesce(infinite, value))
+        .when(kind.endswith("range"), F.when(F.regexp_replace(value, r"\s", "").rlike(r"^[(\[]([^,]+),\1\)$"), F.lit("empty")).otherwise(F.regexp_replace(value, r"\s", "")))
+        .when(kind.isin("json", "jsonb"), F.trim(value))
+        .when(kind.isin("int2", "int4", "int8"), F.regexp_replace(value, r"\.0+$", ""))
+        .otherwise(value)
+    )

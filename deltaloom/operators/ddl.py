@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.operators.sizes import if_small
+
 _NAME = r'("(?:[^"]|"")+"|[\w$]+)'
 
 
@@ -35,26 +37,83 @@ def diff(statements: DataFrame) -> DataFrame:
         .when(F.col("kind") == "alter_column", _extract(ddl, rf"(?i)alter\s+column\s+{_NAME}"))
         .when(F.col("kind") == "rename_column", _extract(ddl, rf"(?i)rename\s+column\s+{_NAME}"))
     )
+    old_table = _extract(ddl, rf"(?i)alter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?(?:{_NAME}\.)?{_NAME}\s+rename\s+to", 2)
     new_name = F.when(F.col("kind") == "rename_table", _extract(ddl, rf"(?i)rename\s+to\s+{_NAME}")).when(
         F.col("kind") == "rename_column", _extract(ddl, rf"(?i)rename\s+column\s+{_NAME}\s+to\s+{_NAME}", 2)
     )
-    return statements.withColumn("kind", what).withColumns({"column": column, "new_name": new_name})
+    return statements.withColumn("kind", what).withColumns(
+        {"column": column, "new_name": new_name, "old_table": F.when(F.col("kind") == "rename_table", old_table)}
+    )
 
 
 def gate_violations(diffs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Added or renamed columns that no rule names (strict mode stops at them)."""
+    """What strict mode stops at: added or renamed columns that no rule names, and new or renamed tables without any rule
+    (``column`` null)."""
     fresh = diffs.filter("kind IN ('add_column', 'rename_column')").select("schema", "table", F.coalesce("new_name", "column").alias("column"))
-    return fresh.join(F.broadcast(rules), ["schema", "table", "column"], "left_anti")
+    tables = diffs.filter("kind IN ('create_table', 'rename_table')").select("schema", F.coalesce("new_name", "table").alias("table"))
+    bare = tables.join(if_small(rules.select("schema", "table").distinct()), ["schema", "table"], "left_anti")
+    return fresh.join(if_small(rules), ["schema", "table", "column"], "left_anti").unionByName(bare.withColumn("column", F.lit(None).cast("string")))
 
 
 def as_of(events: DataFrame, history: DataFrame) -> DataFrame:
-    """Each event with the version of its table's metadata that was last defined at or before it.
+    """Each event with the version of its table's metadata that was last defined at or before it, null before the first.
+
+    The history is one sorted array a table, broadcast if there are few tables; events are not shuffled then, and a table with
+    most of the events is no hot key. An event picks the last entry that is not later."""
+    versions = history.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("pos", "version"))).alias("__versions"))
+    joined = events.join(if_small(versions), "table", "left")
+    before = F.filter("__versions", lambda v: v["pos"] <= F.col("pos"))
+    return joined.withColumn("version", F.try_element_at(before, F.lit(-1))["version"]).drop("__versions")
+
+
+MESSAGE = (
+    "ddl string, schema_name string, command_tag string, objects array<struct<type:string,identity:string,schema:string,oid:string,"
+    "columns:array<struct<attnum:int,name:string,type:string,nullable:boolean,generated:boolean,identity:string,unique:boolean,default:string>>>>"
+)
+
+
+def parse_message(content: Column) -> Column:
+    """The struct of a schema-change message; null for other text."""
+    return F.from_json(content, MESSAGE, {"mode": "PERMISSIVE"})
+
 
-    Both sides go to one sort by table and position, and the last version is carried along; nothing is crossed."""
-    from pyspark.sql import Window
+def object_schema(identity: Column) -> Column:
+    """Schema of an object's identity; public if it has none."""
+    return F.when(identity.contains("."), F.split_part(identity, F.lit("."), F.lit(1))).otherwise(F.lit("public"))
 
-    tagged = events.withColumns({"__late": F.lit(1), "version": F.lit(None).cast("long")})
-    marks = history.select("table", "pos", "version").withColumn("__late", F.lit(0))
-    order = Window.partitionBy("table").orderBy("pos", "__late").rowsBetween(Window.unboundedPreceding, 0)
-    both = tagged.unionByName(marks, allowMissingColumns=True).withColumn("version", F.last("version", ignorenulls=True).over(order))
-    return both.filter("__late = 1").drop("__late")
+
+def object_table(identity: Column) -> Column:
+    parts = F.split(identity, r"\.")
+    return F.when(F.size(parts) == 1, parts[0]).otherwise(parts[1])
+
+
+def sequence_name(default: Column) -> Column:
+    """Name of the sequence that a column's default takes its values from, or null."""
+    found = F.regexp_extract(default, r"nextval\('([^']+)'", 1)
+    return F.when(found != "", found)
+
+
+_HEADER = r"^-- Name: .*; Type: ([A-Z ]+);"
+
+
+def dump_parts(lines: DataFrame, views: tuple[str, ...] = ()) -> DataFrame:
+    """``lines`` (n, line) of a schema dump, statement by statement (each on one line), with the ``part`` that restores it:
+    main, constraints, views, event_triggers, every (all parts) or dropped. ``views`` names materialised views."""
+    line = F.trim("line")
+    of_view = F.lit(False)
+    for v in views:
+        of_view = of_view | F.regexp_extract(line, r"(?i) ON (?:ONLY )?(\S+)", 1).isin(v)
+    part = (
+        F.when(line.startswith("\\connect"), "every")
+        .when(line.rlike(r"(?i)^SECURITY LABEL"), "dropped")
+        .when(line.rlike(r"(?i)^CREATE (OR REPLACE )?FUNCTION .*plpgsql_call_handler"), "dropped")
+        .when(line.rlike(r"(?i)^CREATE (OR REPLACE )?FUNCTION .*(BEGIN ATOMIC|\)\s+RETURN )"), "views")
+        .when(line.rlike(r"(?i)^ALTER TABLE .*(ADD CONSTRAINT|CLUSTER ON|REPLICA IDENTITY|ATTACH PARTITION)"), "constraints")
+        .when(line.rlike(r"(?i)EVENT TRIGGER"), "event_triggers")
+        .when(line.rlike(r"(?i)^CREATE (OR REPLACE )?(MATERIALIZED )?VIEW .*NULL::"), "main")
+        .when(line.rlike(r'(?i)^(CREATE (OR REPLACE )?(MATERIALIZED )?VIEW|CREATE RULE "_RETURN"|(COMMENT ON|ALTER) (MATERIALIZED )?VIEW)'), "views")
+        .when(line.rlike(r"(?i)^CREATE (UNIQUE )?INDEX") & of_view, "views")
+        .when(line.rlike(r"(?i)^(CREATE (UNIQUE )?INDEX|CREATE (CONSTRAINT )?TRIGGER|COMMENT ON (INDEX|TRIGGER|CONSTRAINT)|ALTER INDEX .* ATTACH)"), "constraints")
+        .otherwise("main")
+    )
+    return lines.filter((line != "") & ~line.startswith("--")).select("n", "line", part.alias("part"))

@@ -58,3 +58,44 @@ def search_type(type_name: Column) -> Column:
     for kind, names in SEARCH_TYPES.items():
         out = out.when(bare.isin(names), kind)
     return out
+
+
+def mapping(type_name: Column) -> Column:
+    """Field mapping of a database type as JSON, or null."""
+    kind = search_type(type_name)
+    size = F.regexp_extract(type_name, r"vector\((\d+)\)", 1)
+    return (
+        F.when(kind == "string", F.lit('{"type":"keyword","fields":{"text":{"type":"text"}}}'))
+        .when(kind == "vector", F.concat(F.lit('{"type":"knn_vector","dimension":'), size, F.lit("}")))
+        .when(kind == "json", F.lit('{"type":"flat_object"}'))
+        .when(kind == "integer", F.lit('{"type":"long"}'))
+        .when(kind == "float", F.lit('{"type":"double"}'))
+        .when(kind == "boolean", F.lit('{"type":"boolean"}'))
+        .when(kind.isNotNull(), F.lit('{"type":"date"}'))
+    )
+
+
+def mapping_changes(columns: DataFrame) -> DataFrame:
+    """Fields that an index gains for added or renamed columns (schema, table, table_id, attnum, name, type, change): one for the
+    column by its ids, and an alias by its names; a renamed column only gains an alias."""
+    field = F.concat_ws("-", "table_id", F.col("attnum").cast("string"))
+    alias = F.struct(F.concat_ws(".", "table", "name").alias("field"), F.concat(F.lit('{"type":"alias","path":"'), field, F.lit('"}')).alias("mapping"))
+    own = F.struct(field.alias("field"), mapping(F.col("type")).alias("mapping"))
+    made = columns.filter(mapping(F.col("type")).isNotNull()).select(
+        F.concat(F.col("schema"), F.lit("-1")).alias("index"), F.explode(F.when(F.col("change") == "add", F.array(own, alias)).otherwise(F.array(alias))).alias("f")
+    )
+    return made.select("index", "f.field", "f.mapping")
+
+
+def index_actions(diffs: DataFrame) -> DataFrame:
+    """What schema changes (schema, table, kind) do to indexes: a dropped schema deletes its index, a dropped table its documents."""
+    index = F.concat(F.col("schema"), F.lit("-1"))
+    action = F.when(F.col("kind") == "drop_schema", "delete_index").when(F.col("kind") == "drop_table", "delete_documents").when(F.col("kind") == "create_table", "ensure_index")
+    made = diffs.select(index.alias("index"), F.col("schema").alias("alias"), F.when(F.col("kind") == "drop_table", F.col("table")).alias("of_table"), action.alias("action"))
+    return made.filter("action IS NOT NULL").distinct()
+
+
+def storable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that an index takes, and those whose id is longer than its limit of 512 bytes."""
+    long_ = F.octet_length("id") > 512
+    return documents.filter(~long_), documents.filter(long_)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.operators.sizes import if_small
+
 
 def column_id(table_id: Column, number: Column) -> Column:
     return F.concat_ws("-", table_id, number.cast("string"))
@@ -17,10 +19,30 @@ def identity(columns: Column) -> Column:
 
 
 def inject(events: DataFrame, tables: DataFrame) -> DataFrame:
-    """Events with table_id and identity column ids; events of tables without an identity do not pass."""
-    ids = F.transform(identity(F.col("columns")), lambda c: column_id(F.col("table_id"), c["attnum"]))
-    known = tables.withColumn("identity_ids", ids).filter(F.size("identity_ids") > 0).select("table", "table_id", "identity_ids")
-    return events.join(F.broadcast(known), "table")  # one row a table of the source database
+    """Events with table_id, identity column ids, all column ids and ``outcome``: ok, no_identity (of the table) or
+    unknown_table. Tables are told apart by schema and name, and no event is lost."""
+    at = lambda columns: F.transform(columns, lambda c: column_id(F.col("table_id"), c["attnum"]))
+    known = tables.select("schema", "table", "table_id", at(identity(F.col("columns"))).alias("identity_ids"), at(F.col("columns")).alias("column_ids"))
+    outcome = F.when(F.col("table_id").isNull(), "unknown_table").when(F.size("identity_ids") > 0, "ok").otherwise("no_identity")
+    return events.join(if_small(known), ["schema", "table"], "left").withColumn("outcome", outcome)
+
+
+def without_views(events: DataFrame, views: DataFrame) -> DataFrame:
+    """Events without those of materialised views (schema, table)."""
+    return events.join(if_small(views.select("schema", "table").distinct()), ["schema", "table"], "left_anti")
+
+
+def without_internal(events: DataFrame, schema: str) -> DataFrame:
+    """Events without row changes of the engine's own schema; its messages stay."""
+    return events.filter((F.col("schema") != schema) | (F.col("action") == "M") | F.col("schema").isNull())
+
+
+def pinned(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The captured columns that the table still has, in the captured order; none is an error."""
+    still = [c for c in columns if c in table.columns]
+    if not still:
+        raise ValueError(f"none of the captured columns is left: {columns}")
+    return table.select(*still)
 
 
 def sanitize(c: Column) -> Column:

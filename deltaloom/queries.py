@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from deltaloom.functions import keys as K
 from deltaloom.functions import masking as M
 from deltaloom.functions import positions as P
+from deltaloom.functions import scramble
 from deltaloom.operators import apply as A
 from deltaloom.operators import checks, ddl, documents, enrichment, selection, snapshot
+from deltaloom.operators.batching import backoff, drops, lag, lane_batches
 from deltaloom.plans.transform import Rule, transform
-from deltaloom.sources.change_stream import orders_changes
+from deltaloom.sources.change_stream import ndjson, orders_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,6 +108,51 @@ def sequence_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.sequence_values(_changes(spark, sf_dir).withColumn("table", F.lit("orders")), "table", "o_orderkey")
 
 
+@query("SELECT o_orderkey, 'second' AS value FROM orders")
+def apply_equal_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(v).alias("value")) for i, v in ((2, "second"), (1, "first"))])
+    rows = _read(spark, sf_dir, "orders").select(F.lit("I").alias("action"), F.lit(0).alias("pos"), "o_orderkey", F.explode(two).alias("c"))
+    return A.upsert(None, rows.select("action", "pos", "c.seq", "o_orderkey", "c.value"), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'X' END, o_orderstatus) AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0")
+def snapshot_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot at the middle position, then the changes after it."""
+    changes = _changes(spark, sf_dir)
+    middle = changes.agg(F.expr("max(pos) div 2")).first()[0]
+    taken = A.upsert(None, changes.filter(F.col("pos") <= middle), ["o_orderkey"])
+    return A.upsert(None, snapshot.then_stream(taken, changes, middle), ["o_orderkey"])
+
+
+@query(CHANGES + "SELECT o_orderkey, action, 'rejected by the target' AS error FROM c WHERE o_custkey % 10 = 0")
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.writes(_changes(spark, sf_dir), F.col("o_custkey") % 10 != 0)[1].select("o_orderkey", "action", "error")
+
+
+@query(
+    CHANGES + ", m AS (SELECT *, CASE WHEN action = 'U' OR action IS DISTINCT FROM lag(action) OVER (PARTITION BY o_custkey ORDER BY pos) THEN 1 ELSE 0 END AS new FROM c),"
+    " r AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM m)"
+    " SELECT pos, run::BIGINT AS run, ((row_number() OVER (PARTITION BY o_custkey, run ORDER BY pos) - 1) // 2)::BIGINT AS part FROM r"
+)
+def write_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.statements(_changes(spark, sf_dir), "o_custkey", 2).select("pos", "run", "part")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'id,name' ELSE 'name' END AS columns FROM orders")
+def generated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda n, g, i: F.struct(F.lit(n).alias("name"), F.lit(g).alias("generated"), F.lit(i).alias("identity"))
+    columns = F.array(one("id", "", "always"), one("name", "", ""), one("total", "stored", ""))
+    action = F.when(F.col("o_orderkey") % 2 == 0, "I").otherwise("U")
+    kept = F.transform(A.writable(columns, action), lambda c: c["name"])
+    return _read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(kept, ",").alias("columns"))
+
+
+@query("SELECT * FROM (VALUES ('int4range', 'empty'), ('timestamptz', 'infinity'), ('date', '-infinity'), ('jsonb', '{\"a\": 1}'), ('int8', '7'), ('text', ' t '), ('numrange', '[1,2)')) v(type, value)")
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("int4range", "[3, 3)"), ("timestamptz", "Inf"), ("date", "-Infinity"), ("jsonb", ' {"a": 1} '), ("int8", "7.00"), ("text", " t "), ("numrange", "[1, 2)")]
+    return spark.createDataFrame(rows, "type string, value string").select("type", A.typed_value(F.col("type"), F.col("value")).alias("value"))
+
+
 # --- selection
 
 
@@ -136,6 +183,21 @@ def filter_ddl_multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(selection.Selection.of(exclude=["web.error"]).keeps_ddl(F.col("objects"))).select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE event_type <> 'view' AND event_type <> 'error'")
+def without_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = spark.createDataFrame([("web", "view"), ("web", "view"), ("old", "click")], "schema string, `table` string")
+    kept = enrichment.without_views(_as_tables(spark, sf_dir), views).withColumn("action", F.lit("I"))
+    return enrichment.without_internal(kept.withColumn("schema", F.when(F.col("table") == "error", "own").otherwise("web")), "own").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_type <> 'error'")
+def without_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("event_id") % 3
+    identity = F.when(third == 1, F.array(F.lit("id"))).otherwise(F.array().cast("array<string>"))
+    events = _as_tables(spark, sf_dir).withColumns({"identity": identity, "action": F.when(third == 2, "I").otherwise("U")})
+    return checks.without_identity(events, selection.Selection.of(exclude=["web.error"])).select("event_id")
+
+
 @query("SELECT n_nationkey, (n_nationkey % 3 = 0) AS skipped FROM nation")
 def ddl_object_type_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("n_nationkey") % 3
@@ -166,6 +228,15 @@ def snapshot_to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.as_inserts(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "public", "nation")
 
 
+@query("SELECT n_name AS \"table\" FROM nation WHERE n_nationkey % 4 = 1")
+def snapshot_retried_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last entry counts: every second failure was made good later."""
+    nation = _read(spark, sf_dir, "nation").select(F.lit("s").alias("schema"), F.col("n_name").alias("table"), "n_nationkey")
+    first = nation.select("schema", "table", F.when(F.col("n_nationkey") % 2 == 1, "failed").otherwise("completed").alias("status"), F.lit(1).alias("at"))
+    later = nation.filter("n_nationkey % 4 = 3").select("schema", "table", F.lit("completed").alias("status"), F.lit(2).alias("at"))
+    return snapshot.retried(nation.select("schema", "table"), first.unionByName(later)).select("table")
+
+
 @query("SELECT c_custkey AS \"table\", r AS first_page, least(r + 4, c_custkey % 11) AS end_page FROM customer, range(0, 11, 4) t(r) WHERE r < greatest(c_custkey % 11, 1)")
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.col("c_custkey") % 11
@@ -175,14 +246,21 @@ def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- enrichment and sanitising
 
 
-@query("SELECT o_orderkey, 'orders' AS \"table\", 't1-1' AS identity FROM orders")
+@query(
+    "SELECT o_orderkey, v.* FROM orders, (VALUES ('app', 'orders', 'ok', 't1-1'), ('app', 'log', 'no_identity', ''), ('old', 'orders', 'ok', 't3-2'),"
+    " ('app', 'other', 'unknown_table', NULL)) v(schema, \"table\", outcome, identity)"
+)
 def inject_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     column = "array<struct<attnum:int,primary:boolean,unique:boolean,nullable:boolean>>"
-    tables = spark.createDataFrame(
-        [("orders", "t1", [(2, False, True, False), (1, True, True, False)]), ("log", "t2", [(1, False, False, True)])], f"`table` string, table_id string, columns {column}"
-    )
-    events = _read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.lit("orders"), F.lit("log"))).alias("table"))
-    return enrichment.inject(events, tables).select("o_orderkey", "table", F.concat_ws(",", "identity_ids").alias("identity"))
+    rows = [
+        ("app", "orders", "t1", [(2, False, True, False), (1, True, True, False)]), ("app", "log", "t2", [(1, False, False, True)]),
+        ("old", "orders", "t3", [(3, False, True, True), (2, False, True, False)]),
+    ]
+    tables = spark.createDataFrame(rows, f"schema string, `table` string, table_id string, columns {column}")
+    names = F.array(*[F.struct(F.lit(x).alias("schema"), F.lit(t).alias("table")) for x, t in (("app", "orders"), ("app", "log"), ("old", "orders"), ("app", "other"))])
+    events = _read(spark, sf_dir, "orders").select("o_orderkey", F.explode(names).alias("n")).select("o_orderkey", "n.*")
+    ids = F.when(F.col("identity_ids").isNotNull(), F.concat_ws(",", "identity_ids"))
+    return enrichment.inject(events, tables).select("o_orderkey", "schema", "table", "outcome", ids.alias("identity"))
 
 
 @query("SELECT doc_id, text AS text FROM documents")
@@ -249,28 +327,144 @@ def null_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform(typed, [Rule("event_type", "masking")])
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(substr(event_type, 1, 1) AS BIGINT), NULL) AS number FROM events")
+def _half_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit("2020-05-05")).otherwise(F.col("event_type")).alias("day"))
+
+
+_DAY = "strftime(DATE '2021-01-01' + (('0x' || substr(md5('2020-05-05'), 1, 15))::BIGINT % 31)::INT, '%Y-%m-%d')"
+_DATES = [Rule("day", "greenmask_date", {"min_value": "2021-01-01", "max_value": "2021-01-31"})]
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {_DAY} END AS day FROM events")
 def on_error_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").select("event_id", F.substring("event_type", 1, 1).try_cast("long").alias("number"))
+    return transform(_half_dates(spark, sf_dir), _DATES).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {_DAY} ELSE event_type END AS day FROM events")
+def on_error_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_half_dates(spark, sf_dir), _DATES, on_error="pass_through")
 
 
-@query("SELECT event_id, '{\"k\":' || (json_extract_string(props, '$.k')) || ',\"new\":\"x\"}' AS props FROM events")
+def _edited(spark: SparkSession, sf_dir: str, operations: list[dict]) -> DataFrame:
+    return transform(_read(spark, sf_dir, "events").select("event_id", "props"), [Rule("props", "json", {"operations": operations})])
+
+
+@query("SELECT event_id, '{\"k\":\"x\",\"new\":{\"old\":1}}' AS props FROM events")
 def json_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.from_json("props", "k long").withField("new", F.lit("x"))
-    return _read(spark, sf_dir, "events").select("event_id", F.to_json(parsed).alias("props"))
+    made = {"operation": "set", "path": "new.old", "value": 1, "skip_not_exist": False}
+    return _edited(spark, sf_dir, [{"operation": "set", "path": "k", "value": "x"}, made, {"operation": "set", "path": "none", "value": 2}])
 
 
-@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS props FROM events")
+@query("SELECT event_id, '{\"kept\":\"' || json_extract_string(props, '$.k') || '\"}' AS props FROM events")
 def json_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.from_json("props", "k long").withField("gone", F.lit(1)).dropFields("gone")
-    return _read(spark, sf_dir, "events").select("event_id", F.to_json(parsed).alias("props"))
+    doubled = F.concat(F.lit('{"kept":"'), F.get_json_object("props", "$.k"), F.lit('","gone":'), "props", F.lit("}"))
+    return transform(
+        _read(spark, sf_dir, "events").select("event_id", doubled.alias("props")), [Rule("props", "json", {"operations": [{"operation": "delete", "path": "gone"}]})]
+    )
 
 
-@query("SELECT c_custkey, 'a=' || c_custkey || ',b=y' AS pairs FROM customer")
+def _pairs(spark: SparkSession, sf_dir: str, operations: list[dict]) -> DataFrame:
+    text = F.concat(F.lit('"a"=>"'), F.col("c_custkey").cast("string"), F.lit('", "b c"=>NULL'))
+    return transform(_customers(spark, sf_dir, pairs=text), [Rule("pairs", "hstore", {"operations": operations})])
+
+
+@query("SELECT c_custkey, '\"a\"=>\"' || c_custkey || '\", \"b c\"=>\"y\", \"d\"=>\"z\"' AS pairs FROM customer")
 def hstore_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.create_map(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("b"), F.lit("x"))
-    new = F.map_concat(F.map_filter(m, lambda k, v: k != "b"), F.create_map(F.lit("b"), F.lit("y")))
-    return _customers(spark, sf_dir, pairs=F.array_join(F.array_sort(F.transform(F.map_entries(new), lambda e: F.concat_ws("=", e["key"], e["value"]))), ","))
+    return _pairs(spark, sf_dir, [{"operation": "set", "key": "b c", "value": "y"}, {"operation": "set", "key": "d", "value": "z", "skip_not_exist": False}])
+
+
+@query("SELECT c_custkey, '\"b c\"=>NULL' AS pairs FROM customer")
+def hstore_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir, [{"operation": "delete", "key": "a"}, {"operation": "delete", "key": "none"}])
+
+
+_SCRAMBLED = """array_to_string(list_transform(range(length(t)), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
+((('0x' || substr(sha256('defaultsalt' || t), (2 * (i % 32) + 1)::INT, 2))::INT + ascii(substr(t, (i + 1)::INT, 1))) % 256 % 62 + 1)::INT, 1)), '')"""
+
+
+@query(f"SELECT c_custkey, {_SCRAMBLED} || '@example.com' AS masked FROM (SELECT c_custkey, c_name || 'x.org' AS t FROM customer)")
+def email_scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_customers(spark, sf_dir, masked=F.concat("c_name", F.lit("@x.org"))), [Rule("masked", "email")])
+
+
+@query(
+    f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '@keep.org' ELSE {_SCRAMBLED} || '@new.org' END AS masked"
+    " FROM (SELECT c_custkey, c_name, c_name || 'x.org' AS t FROM customer)"
+)
+def email_exclude_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, F.lit("@keep.org")).otherwise(F.lit("@x.org")))
+    return transform(_customers(spark, sf_dir, masked=text), [Rule("masked", "email", {"exclude_domain": "keep.org", "replacement_domain": "@new.org"})])
+
+
+_BYTE = "('0x' || substr(h, (2 * {i} + 1)::INT, 2))::INT"
+
+
+@query(
+    f"SELECT c_custkey, '+1' || substr(array_to_string(list_transform(range(1, 11), lambda i: {_BYTE.format(i='i')} % 10), ''), 1, 6 + {_BYTE.format(i=0)} % 5 - 2) AS masked"
+    " FROM (SELECT c_custkey, sha256(c_name) AS h FROM customer)"
+)
+def phone_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_customers(spark, sf_dir, masked=F.col("c_name")), [Rule("masked", "phone_number", {"prefix": "+1"})])
+
+
+@query(
+    "SELECT c_custkey, array_to_string(list_transform(range(length(c_name)), lambda i: substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    " (('0x' || substr(sha256('string' || c_name || '/' || (i // 32)), (2 * (i % 32) + 1)::INT, 2))::INT % 52 + 1)::INT, 1)), '') AS masked FROM customer"
+)
+def string_same_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_customers(spark, sf_dir, masked=F.col("c_name")), [Rule("masked", "string")])
+
+
+@query("SELECT c_custkey, 'id ' || upper(substr(c_name, 1, 4)) || '-' || c_nationkey || '!' AS masked, c_nationkey FROM customer")
+def template_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'id {{ .GetValue | trunc 4 | upper }}-{{.GetDynamicValue "c_nationkey"}}!'
+    rows = _customers(spark, sf_dir, masked=F.col("c_name"), c_nationkey=F.col("c_nationkey"))
+    return transform(rows, [Rule("masked", "template", {"template": text}, {"c_nationkey": "c_nationkey"})])
+
+
+@query()
+def encrypted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_customers(spark, sf_dir, masked=F.col("c_name")), [Rule("masked", "encrypted_aes_siv", {"key_hex": "0f" * 64, "associated_data": "customer"})])
+
+
+@query(f"SELECT c_custkey, strftime(date_trunc('hour', make_timestamp(1704067200000000 + ({{}}) % 86400000001)), '%Y-%m-%dT%H:%M:%SZ') AS masked FROM customer".format("('0x' || substr(md5('utc' || c_name), 1, 15))::BIGINT"))
+def utc_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir, masked=scramble.utc_timestamp(F.col("c_name"), "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", "hour"))
+
+
+_NAMES = ", ".join(f"'{x}'" for x in scramble.FEMALE + scramble.MALE)
+
+
+@query(f"SELECT c_custkey, list_extract([{_NAMES}], (('0x' || substr(md5('first' || c_name), 1, 15))::BIGINT % 40 + 1)::INT) AS masked FROM customer")
+def first_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_customers(spark, sf_dir, masked=F.col("c_name")), [Rule("masked", "greenmask_firstname")])
+
+
+_LASTS = ", ".join(f"'{x}'" for x in scramble.LAST)
+
+
+@query(
+    f"SELECT c_custkey, list_extract([{_NAMES}], (('0x' || substr(md5('f' || c_name), 1, 15))::BIGINT % 40 + 1)::INT) || ' ' ||"
+    f" list_extract([{_LASTS}], (('0x' || substr(md5('l' || c_name), 1, 15))::BIGINT % 20 + 1)::INT) AS masked FROM customer"
+)
+def full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_customers(spark, sf_dir, masked=F.col("c_name")), [Rule("masked", "neosync_fullname")])
+
+
+@query(f"SELECT c_custkey, list_extract([{_LASTS}], (('0x' || substr(md5(c_name), 1, 15))::BIGINT % 20 + 1)::INT) AS masked FROM customer")
+def last_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_customers(spark, sf_dir, masked=F.col("c_name")), [Rule("masked", "neosync_lastname")])
+
+
+@query("SELECT c_custkey, md5(c_name || '@x.org') AS masked FROM customer")
+def new_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = transform(_customers(spark, sf_dir, masked=F.concat("c_name", F.lit("@x.org"))), [Rule("masked", "neosync_email", {"preserve_domain": True})])
+    return made.withColumn("masked", F.regexp_replace("masked", "@x.org$", ""))
+
+
+@query("SELECT c_custkey, round(c_acctbal * (1 + (('0x' || substr(md5('noise' || c_acctbal), 1, 15))::BIGINT % 2000001 / 1000000.0 - 1) * 0.5), 4) AS masked FROM (SELECT c_custkey, c_custkey * 7 AS c_acctbal FROM customer)")
+def anon_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir, masked=F.round(scramble.noise(F.col("c_custkey") * 7, 0.5), 4))
 
 
 # --- schema changes
@@ -309,7 +503,7 @@ def ddl_diff_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diffs(spark).filter("column IS NOT NULL OR new_name IS NOT NULL").select("n", "column", "new_name")
 
 
-@query("SELECT 'public' AS schema, 't' AS \"table\", 'full name' AS \"column\" UNION ALL SELECT 'public', 't', 'b'")
+@query("SELECT * FROM (VALUES ('public', 't', 'full name'), ('public', 't', 'b'), ('public', 'u', NULL)) v(schema, \"table\", \"column\")")
 def ddl_gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("public", "t", "age")], "schema string, `table` string, `column` string")
     return ddl.gate_violations(_diffs(spark).withColumns({"schema": F.lit("public"), "table": F.lit("t")}), rules)
@@ -357,7 +551,7 @@ def message_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.within_size(rows, "key", "text", 2000).select("doc_id")
 
 
-@query()
+@query("SELECT o_orderkey, (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 12)::INT AS partition FROM orders")
 def message_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", K.placement(F.col("o_orderkey").cast("string"), 12).alias("partition"))
 
@@ -417,7 +611,111 @@ def replica_identity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "nation").select("n_nationkey", checks.replica_identity(kind, ok, ok).alias("finding"))
 
 
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'delivered' WHEN n_nationkey % 5 IN (1, 2, 3) THEN 'retry' ELSE 'dropped' END AS outcome FROM nation")
+def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(x) for x in (204, 429, 503, 0, 404)]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return _read(spark, sf_dir, "nation").select("n_nationkey", checks.delivery_outcome(status).alias("outcome"))
+
+
+@query("SELECT event_id, 'u' AS url, '{\"Data\":' || props || '}' AS payload, CASE WHEN event_id % 2 = 0 THEN '0/1' END AS idempotency_key FROM events")
+def webhook_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lsn = F.when(F.col("event_id") % 2 == 0, "0/1").otherwise("0/0")
+    return checks.deliveries(_read(spark, sf_dir, "events").select("event_id", F.lit("u").alias("url"), lsn.alias("lsn"), F.col("props").alias("data")))
+
+
+@query("SELECT * FROM (VALUES ('s', 't', 'c', 'money')) v(schema, \"table\", \"column\", type)")
+def type_compat_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", "int4", "b", ""), ("b", "_text", "b", "b"), ("c", "money", "b", ""), ("d", "mood", "e", ""), ("e", "_mood", "b", "e"), ("f", "ltree", "b", "")]
+    columns = spark.createDataFrame([("s", "t", *r) for r in rows], "schema string, `table` string, `column` string, type string, kind string, element_kind string")
+    return checks.unsupported_types(columns)
+
+
+@query(
+    "SELECT * FROM (VALUES ('a', 'anon_partial', '2|***|3'), ('b', 'anon_fake_city', NULL), ('c', 'literal_string', 'CONFIDENTIAL')) v(\"column\", transformer, parameters)"
+)
+def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", "MASKED WITH FUNCTION anon.partial(2,'***',3)"), ("b", "masked with function anon.fake_city()"), ("c", "MASKED WITH VALUE 'CONFIDENTIAL'"), ("d", "NOT MASKED")]
+    labels = spark.createDataFrame([("s", "t", *r) for r in rows], "schema string, `table` string, `column` string, label string")
+    joined = F.when(F.col("parameters").isNotNull(), F.array_join("parameters", "|"))
+    return checks.label_rules(labels).select("column", "transformer", joined.alias("parameters"))
+
+
+_DUMP = [
+    ("-- Name: t; Type: TABLE;", None), ("CREATE TABLE public.t (id int);", "main"), ("CREATE SEQUENCE public.s;", "main"), ("\\connect db", "every"),
+    ("ALTER TABLE ONLY public.t ADD CONSTRAINT pk PRIMARY KEY (id);", "constraints"), ("CREATE INDEX i ON public.t USING btree (id);", "constraints"),
+    ("CREATE MATERIALIZED VIEW public.mv AS SELECT 1;", "views"), ("CREATE INDEX j ON public.mv USING btree (id);", "views"),
+    ("CREATE VIEW public.d AS SELECT NULL::integer AS id;", "main"), ("CREATE EVENT TRIGGER e ON ddl_command_end EXECUTE FUNCTION f();", "event_triggers"),
+    ("SECURITY LABEL FOR anon ON COLUMN public.t.id IS 'x';", "dropped"), ("CREATE FUNCTION f() RETURNS int LANGUAGE sql BEGIN ATOMIC SELECT 1; END;", "views"),
+    ("CREATE TRIGGER g AFTER INSERT ON public.t EXECUTE FUNCTION h();", "constraints"), ("COMMENT ON VIEW public.d IS 'y';", "views"), ("", None),
+    ("GRANT SELECT ON TABLE public.t TO someone;", "main"),
+]
+_PARTS = ", ".join(f"({i}, '{part}')" for i, (_, part) in enumerate(_DUMP) if part)
+
+
+@query(f"SELECT n::BIGINT AS n, part FROM (VALUES {_PARTS}) v(n, part)")
+def dump_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(_DUMP)], "n long, line string")
+    return ddl.dump_parts(lines, ("public.mv",)).select("n", "part")
+
+
+@query("SELECT n_nationkey, 'ALTER TABLE t' AS ddl, 'n' || n_nationkey AS schema, 't' AS \"table\", 'n.seq' AS sequence FROM nation")
+def ddl_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    objects = F.concat(F.lit('[{"type":"table","identity":"'), name, F.lit(""".t","columns":[{"attnum":1,"name":"id","default":"nextval('n.seq'::regclass)"}]}]}"""))
+    content = F.concat(F.lit('{"ddl":"ALTER TABLE t","command_tag":"ALTER TABLE","objects":'), objects)
+    parsed = _read(spark, sf_dir, "nation").select("n_nationkey", ddl.parse_message(content).alias("m")).withColumn("o", F.col("m.objects")[0])
+    return parsed.select(
+        "n_nationkey", "m.ddl", ddl.object_schema(F.col("o.identity")).alias("schema"), ddl.object_table(F.col("o.identity")).alias("table"),
+        ddl.sequence_name(F.col("o.columns")[0]["default"]).alias("sequence"),
+    )
+
+
+@query(
+    "SELECT * FROM (VALUES ('s-1', 't9-1', '{\"type\":\"long\"}'), ('s-1', 't.id', '{\"type\":\"alias\",\"path\":\"t9-1\"}'),"
+    " ('s-1', 't.new', '{\"type\":\"alias\",\"path\":\"t9-2\"}'), ('s-1', 't9-3', '{\"type\":\"knn_vector\",\"dimension\":3}'),"
+    " ('s-1', 't.v', '{\"type\":\"alias\",\"path\":\"t9-3\"}')) v(index, field, mapping)"
+)
+def mapping_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "id", "int8", "add"), (2, "new", "text", "rename"), (3, "v", "vector(3)", "add"), (4, "p", "point", "add")]
+    return documents.mapping_changes(
+        spark.createDataFrame([("s", "t", "t9", *r) for r in rows], "schema string, `table` string, table_id string, attnum int, name string, type string, change string")
+    )
+
+
+@query("SELECT * FROM (VALUES ('s-1', 's', NULL, 'ensure_index'), ('s-1', 's', 't', 'delete_documents'), ('r-1', 'r', NULL, 'delete_index')) v(index, alias, of_table, action)")
+def index_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("s", "t", "create_table"), ("s", "u", "create_table"), ("s", "t", "drop_table"), ("s", "t", "add_column"), ("r", None, "drop_schema")]
+    return documents.index_actions(spark.createDataFrame(rows, "schema string, `table` string, kind string"))
+
+
+@query("SELECT '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS value FROM events")
+def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ndjson(_read(spark, sf_dir, "events").select("event_id", "event_type", F.lit(None).cast("string").alias("missing")))
+
+
+@query("SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 3 AS batch, event_id FROM events")
+def batch_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").select("event_type", "event_id", F.lit(10).alias("size"))
+    return lane_batches(rows, "event_type", "event_id", "size", 31, 100).select("event_type", "batch", "event_id")
+
+
+@query("SELECT n_nationkey, least(100 * 2 ** n_nationkey, 5000)::BIGINT AS wait_ms FROM nation")
+def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "nation").select("n_nationkey", backoff(F.col("n_nationkey"), 100, 5000).alias("wait_ms"))
+
+
+@query("SELECT 'too large' AS reason, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE strlen(text) > 1900")
+def dropped_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("size"))
+    return drops(rows, F.when(F.col("size") > 1900, "too large"))
+
+
+@query(CHANGES + "SELECT 'orders_' || o_orderkey AS id, (pos + CASE WHEN action = 'I' THEN 0 ELSE 1 END)::BIGINT AS version FROM c")
+def document_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.storable(documents.project(_changes(spark, sf_dir), "orders", ["o_orderkey"], ["o_custkey"]))[0].select("id", "version")
+
+
 @query("SELECT event_id, (epoch_us(TIMESTAMP '2030-01-01') - epoch_us(ts))::BIGINT AS lag_us FROM events")
 def processing_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.unix_micros(F.to_timestamp(F.lit("2030-01-01")))
-    return _read(spark, sf_dir, "events").select("event_id", (now - F.unix_micros(F.col("ts").cast("timestamp"))).alias("lag_us"))
+    now = F.to_timestamp(F.lit("2030-01-01"))
+    return _read(spark, sf_dir, "events").select("event_id", lag(now, F.col("ts").cast("timestamp")).alias("lag_us"))

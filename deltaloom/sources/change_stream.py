@@ -20,3 +20,12 @@ def orders_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_files(spark: SparkSession, path: str) -> DataFrame:
     """A stream of events from NDJSON files as they appear in ``path``."""
     return spark.readStream.schema(ENVELOPE).json(path)
+
+
+def ndjson(events: DataFrame) -> DataFrame:
+    """One line of JSON, ``value``, for each event, nulls left out: what a text sink or the console shows."""
+    return events.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def write_ndjson(events: DataFrame, path: str) -> None:
+    ndjson(events).write.mode("append").text(path)

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaloom import queries as Q
-from deltaloom.functions import keys, masking, positions
+from deltaloom.functions import keys, masking, positions, scramble, structured
 from deltaloom.operators.batching import Tuner, boundaries
 from deltaloom.operators.selection import Selection, parse
-from deltaloom.plans.transform import REGISTRY, Rule, compile_rules
+from deltaloom.plans.transform import REGISTRY, Rule, compile_rules, transform
+from deltaloom.sources import change_stream
 from deltaloom.streaming import runner
 
 SF = "/root/testdata/sf0.001"
@@ -99,11 +100,128 @@ def test_batches_and_tuner():
     assert t.done and t.low <= t.high
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_tuner_finds_a_peak_on_either_side():
+    for best in (120, 500, 900):
+        t = Tuner(1, 1000)
+        for _ in range(400):
+            if not t.done:
+                t.record(1000.0 - abs(t.size - best))
+        assert t.done and abs(t.size - best) < 100
+
+
+def test_stream_equals_batch_with_late_changes(spark, tmp_path):
+    """Micro-batches in any order of positions, deletes included, against one batch."""
     changes = Q._changes(spark, SF)
-    changes.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "in"))
+    parts = changes.randomSplit([1.0] * 4, seed=3)
+    for i, part in enumerate(reversed(parts)):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     runner.run_available(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["o_orderkey"])
-    got = runner.latest(spark, str(tmp_path / "out"), 0)
     want = Q.A.upsert(None, changes, ["o_orderkey"])
-    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    got = runner.latest(spark, str(tmp_path / "out")).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    runner.merge_batch(str(tmp_path / "out"), ["o_orderkey"])(parts[0], 3)  # a batch that runs again
+    again = runner.latest(spark, str(tmp_path / "out")).select(want.columns)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _one(spark, rule, value, kind="string", **options):
+    return transform(spark.createDataFrame([(value,), (None,)], f"c {kind}"), [Rule("c", *rule)], **options).collect()
+
+
+def test_email_goldens(spark):
+    got = _one(spark, ("email", {"replacement_domain": "@nondefault.com", "exclude_domain": "excluded.com", "salt": "defaultsalt"}), "hello@notexcluded.com")
+    assert [r[0] for r in got] == ["BYB5liPSx6sugfg2mewc@nondefault.com", None]
+    got = _one(spark, ("email", {"exclude_domain": "excluded.com"}), "{foo@bar.com,test@excluded.com}")[0][0]
+    assert got.startswith("{") and got.endswith("@example.com,test@excluded.com}")
+    assert _one(spark, ("email", {}), "a")[0][0] == "a"
+
+
+def test_error_policies(spark):
+    rule = ("json", {"operations": [{"operation": "delete", "path": "a.b", "skip_not_exist": False, "error_not_exist": True}]})
+    assert _one(spark, rule, '{"a":{"b":1,"c":2}}')[0][0] == '{"a":{"c":2}}'
+    assert _one(spark, rule, '{"a":1}')[0][0] is None
+    assert _one(spark, rule, '{"a":1}', on_error="pass_through")[0][0] == '{"a":1}'
+    with pytest.raises(Exception, match="json cannot take"):
+        _one(spark, rule, '{"a":1}', on_error="fail")
+    with pytest.raises(ValueError):
+        _one(spark, rule, "{}", on_error="other")
+
+
+@pytest.mark.parametrize(
+    ("operations", "text", "want"),
+    [
+        ([{"operation": "set", "path": "a.1", "value": 5}], '{"a":[1,2,3]}', '{"a":[1,5,3]}'),
+        ([{"operation": "set", "path": "a.-1", "value": 5, "skip_not_exist": False}], '{"a":[1]}', '{"a":[1,5]}'),
+        ([{"operation": "set", "path": "x", "value": 5}], '{"a":1}', '{"a":1}'),
+        ([{"operation": "set", "path": r"a\\.b", "value": None}], '{"a.b":1}', '{"a.b":null}'),
+        ([{"operation": "set", "path": "a", "value_template": "<{{.GetValue}}>"}], '{"a":"é"}', '{"a":"<é>"}'),
+        ([{"operation": "delete", "path": "a.0"}, {"operation": "delete", "path": "b"}], '{"a":[1,2],"b":0}', '{"a":[2]}'),
+    ],
+)
+def test_json_edits(operations, text, want):
+    assert structured.edit_json(text, [{k: v.replace("\\\\", "\\") if k == "path" else v for k, v in o.items()} for o in operations]) == want
+
+
+def test_operations_are_checked():
+    for bad in ([], [{"operation": "move", "path": "a"}], [{"operation": "set", "path": "a"}], [{"operation": "delete"}]):
+        with pytest.raises(ValueError):
+            structured._operations(bad, "path")
+
+
+def test_pairs():
+    assert structured.parse_pairs('"a"=>"1, \\"q\\"", b=>NULL , "c d"=>x') == {"a": '1, "q"', "b": None, "c d": "x"}
+    assert structured.edit_pairs('"a"=>"1"', [{"operation": "set", "key": "a", "value_template": "<no value>"}]) == '"a"=>NULL'
+    with pytest.raises(structured.EditError):
+        structured.parse_pairs("no pairs")
+    with pytest.raises(structured.EditError):
+        structured.edit_pairs("", [{"operation": "delete", "key": "z", "skip_not_exist": False, "error_not_exist": True}])
+
+
+def test_templates(spark):
+    got = _one(spark, ("template", {"template": '{{.GetValue | upper | replace "B" "x"}}/{{ "k" }}'}), "ab")
+    assert [r[0] for r in got] == ["Ax/k", None]
+    for bad in ("{{.Other}}", "{{.GetValue | nope}}", '{{.GetDynamicValue "z"}}'):
+        with pytest.raises(ValueError):
+            _one(spark, ("template", {"template": bad}), "a")
+
+
+def test_aes_siv(spark):
+    """The published vector of RFC 5297, and values that stay apart."""
+    key = bytes.fromhex("fffefdfcfbfaf9f8f7f6f5f4f3f2f1f0f0f1f2f3f4f5f6f7f8f9fafbfcfdfeff")
+    ad = bytes.fromhex("101112131415161718191a1b1c1d1e1f2021222324252627")
+    assert structured.aes_siv(key, bytes.fromhex("112233445566778899aabbccddee"), ad).hex() == "85632d07c6e8f37f950acd320a2ecc9340c02b9690c4dc04daef7f6afe5c"
+    got = Q.QUERIES["encrypted_values"](spark, SF)
+    assert got.select("masked").distinct().count() == got.count() == spark.read.parquet(f"{SF}/customer.parquet").select("c_name").distinct().count()
+    with pytest.raises(ValueError):
+        _one(spark, ("encrypted_aes_siv", {"key_hex": "00"}), "a")
+
+
+def test_names_and_lengths(spark):
+    for n in (1, 2, 4, 7, 12):
+        for name in ("neosync_firstname", "neosync_lastname", "neosync_string"):
+            assert len(_one(spark, (name, {"preserve_length": True}), "x" * n)[0][0]) == n
+    assert len(_one(spark, ("neosync_fullname", {"max_length": 4}), "abc")[0][0]) == 4
+    assert _one(spark, ("greenmask_firstname", {"gender": "Female"}), "abc")[0][0] in scramble.FEMALE
+    for action, want in (("passthrough", "no at"), ("null", None), ("reject", None)):
+        assert _one(spark, ("neosync_email", {"invalid_email_action": action}), "no at")[0][0] == want
+    assert "@" in _one(spark, ("neosync_email", {"invalid_email_action": "generate"}), "no at")[0][0]
+    assert 2 <= len(_one(spark, ("greenmask_string", {"min_length": 2, "max_length": 5}), "abc")[0][0]) <= 5
+    assert len(masking.STYLES) and len(_one(spark, ("masking", {"type": "mobile"}), "1" * 1_048_700)[0][0]) == 1_048_700
+
+
+def test_long_text_bytes_and_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
+    change_stream.write_ndjson(rows, str(tmp_path / "lines"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ['{"id":1,"v":"a"}', '{"id":2}']
+    events = change_stream.event_files(spark, str(tmp_path / "lines"))
+    assert events.isStreaming and "lsn" in events.columns
+
+
+def test_strict_writes_fail(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "id long")
+    with pytest.raises(Exception, match="strict mode"):
+        Q.A.writes(rows, F.col("id") > 1, strict=True)[0].collect()
+    with pytest.raises(ValueError):
+        Q.enrichment.pinned(rows, ["gone"])
+    assert Q.enrichment.pinned(rows, ["gone", "id"]).columns == ["id"]
