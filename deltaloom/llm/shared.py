@@ -45,17 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` read from a Parquet table in the shared folder, made now: smaller than a checkpoint, columns prunable."""
-    return _write(df, new_path(df.sparkSession, name))
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` read from a Parquet table in the shared folder, made now: smaller than a checkpoint, columns prunable. ``codec``
+    is the session's unless given."""
+    return _write(df, new_path(df.sparkSession, name), codec)
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
+def _write(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
     spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,10 +68,10 @@ class Scratch:
     def __init__(self) -> None:
         self._paths: list[tuple[SparkSession, str]] = []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         path = new_path(df.sparkSession, name)
         self._paths.append((df.sparkSession, path))
-        return _write(df, path)
+        return _write(df, path, codec)
 
     def take(self, other: Scratch) -> None:
         """What ``other`` holds is dropped with this one."""

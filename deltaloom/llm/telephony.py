@@ -295,8 +295,8 @@ def describe_pcm(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def through_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts stored as media, read back, stored as resampled PCM, and described from that."""
     scratch = Scratch()
-    media = scratch.written(store_text(df, id_col, text_col), "media")
-    pcm = written(store_pcm(media, id_col), "pcm")
+    media = scratch.written(store_text(df, id_col, text_col), "media", "zstd")
+    pcm = written(store_pcm(media, id_col), "pcm", "zstd")
     scratch.drop()
     return describe_pcm(pcm, id_col)
 
