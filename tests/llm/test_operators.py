@@ -545,3 +545,52 @@ def test_quality_rules(spark, odd, none):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, against plain versions."""
+    import sys
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    passage, rows = _text(900, 40), []
+    for i in range(60):
+        t = _text(1000 + i, 120)
+        rows.append((i, f"{t} {passage}" if i % 6 == 0 else t))
+    rows += [(60 + i, rows[i][1]) for i in range(5)] + [(70 + i, rows[i][1].rsplit(" ", 3)[0] + " other end") for i in range(8, 12)]
+    rows += [(90, None), (91, ""), (92, "few words"), (93, rows[20][1])]
+    full = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in rows]
+    spark.createDataFrame(full + full[-1:], columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    steps = {}
+    for name, stage in list(stages.items())[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        steps[name] = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = quality_classifier.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    want = [(i, t) for i, t, *_ in full + full[-1:] if quality_classifier._score_texts(model, [t and t.encode()])[0] >= 0.3]
+    assert sorted(steps["quality_classifier"], key=str) == sorted(want, key=str) and len(want) > 50
+    of = _components(sorted(set(want), key=str), 5, 80)
+    assert sorted(steps["jaccard_join"], key=str) == sorted({(i, t) for i, t in want if of[i][1] == i}, key=str)
+    x = steps["jaccard_join"]
+    count = collections.Counter(tuple(w[a : a + 35]) for _, t in x for w in [_plain(t)] for a in range(len(w) - 34))
+    for i, t in x:
+        w = _plain(t)
+        gone = {j for a in range(len(w) - 34) if count[tuple(w[a : a + 35])] > 1 for j in range(a, a + 35)}
+        left = b" ".join(y for j, y in enumerate(w) if j not in gone).decode() if gone else t
+        assert (i, left) in steps["substring_dedup"]
+    assert len(x) == len(steps["substring_dedup"]) and any("w" in (t or "") and passage not in (t or "") for _, t in steps["substring_dedup"])
+    mixed = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "substring_dedup"))).collect()}
+    assert collections.Counter(i for i, _ in steps["mixing"]) == collections.Counter({i: n for i, n in mixed.items() if n})
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in stages["bpe"](spark, docs, str(tmp_path)).collect())
+    assert got == collections.Counter((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in steps["mixing"])
