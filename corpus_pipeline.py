@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages over ``documents``: quality, near duplicates, repeated passages, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame; all but the last
-return the columns of ``documents``. ``run`` writes each stage's result to the shared folder before the next one reads it.
+return the columns of ``documents``. ``run`` writes each stage's result to the shared folder before the next one reads it, and then drops
+the one before.
+
+For every stage: null and empty texts are rows like others (scored, never duplicates, without words, of size 0, without tokens);
+repeated rows are rows like others until the near duplicates, which leave one; rows without an id are kept apart by their text;
+an empty table gives an empty one; extra columns pass through the first four stages whatever their names, except that names
+beginning with two underscores are the stages' own.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import bpe, jaccard_join, mixing, quality_classifier, substring_dedup
-from deltaloom.llm.shared import written
+from deltaloom.llm.shared import Scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = Scratch()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        now = Scratch()
+        docs = now.written(stage(spark, docs, sf_dir), name)
+        before.drop()
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
