@@ -62,6 +62,13 @@ def _write(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_files(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders, wherever Spark reads them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Written tables that an operator drops once nothing that it returns reads them."""
 
@@ -80,6 +87,5 @@ class Scratch:
 
     def drop(self) -> None:
         for spark, path in self._paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            drop_files(spark, [path])
         self._paths.clear()

@@ -11,7 +11,8 @@ Each row is handled alone. Null is the empty payload, padded to 64 zero bytes. E
 repeated ones; an empty table gives an empty one. Other columns are not read, whatever their names.
 
 ``store_text`` makes media, ``store_pcm`` reads a media table's stored bytes, digests them and stores the resampled PCM beside the
-digests, and ``describe_pcm`` computes features from the stored PCM. Each writes a table in the shared folder for the next.
+digests, and ``describe_pcm`` computes features from the stored PCM. Each writes a table in the shared folder for the next. PCM is
+stored packed without loss (``pack_pcm``), and media files are dropped as soon as their PCM is written.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.llm.arrow import map_rows
-from deltaloom.llm.shared import Scratch, written
+from deltaloom.llm.shared import Scratch, drop_files, new_path
 
 UNIT = 64
 RATE = 8000
 STRETCH = 1 << 16
 GROUP = 1 << 20
+#: Parts of the media table that are decoded and dropped one after another.
+PORTIONS = 4
 #: WAVE format tags, fixed by the format: A-law 6, mu-law 7, IMA ADPCM 17.
 FORMATS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 _NAMES = {tag: name for name, tag in FORMATS.items()}
@@ -182,6 +185,32 @@ def resample_twice(stretches: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         yield out
 
 
+def _between(odd: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` means of neighbours in ``odd``, rounded down; at the ends the only neighbour, 0 without any."""
+    if not len(odd):
+        return np.zeros(n, dtype="<i2")
+    before = np.concatenate((odd[:1], odd))[:n]
+    after = np.concatenate((odd, odd[-1:]))[:n]
+    return (before & after) + ((before ^ after) >> 1)
+
+
+def pack_pcm(pcm: bytes) -> bytes:
+    """PCM of 16 bits by a lifting step, of the same length and without loss: every second sample, then what the samples between
+    differ from the mean of their neighbours. Smooth PCM leaves small differences, which compress."""
+    whole = np.frombuffer(pcm, dtype="<i2")
+    odd, even = whole[1::2], whole[0::2]
+    return odd.tobytes() + (even - _between(odd, len(even))).astype("<i2").tobytes()
+
+
+def unpack_pcm(packed: bytes) -> bytes:
+    """What ``pack_pcm`` packed."""
+    whole = np.frombuffer(packed, dtype="<i2")
+    odd, rest = whole[: len(whole) // 2], whole[len(whole) // 2 :]
+    out = np.empty(len(whole), dtype="<i2")
+    out[1::2], out[0::2] = odd, rest + _between(odd, len(rest))
+    return out.tobytes()
+
+
 def decode_together(audios: list[Audio]) -> list[Iterator[np.ndarray]]:
     """The stretches of each file. ADPCM files of up to a stretch are decoded side by side, up to GROUP bytes at once."""
     out = [a.stretches() for a in audios]
@@ -258,47 +287,57 @@ _DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32
 
 
 def store_pcm(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests of what ``store_text`` stored, from the stored bytes, with ``codec``, ``pcm_rate`` and ``pcm``, resampled."""
+    """Digests of what ``store_text`` stored, from the stored bytes, with ``codec``, ``pcm_rate`` and ``packed``, the
+    resampled PCM as ``pack_pcm`` gives it."""
 
     def rows(got: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"__id": got[id_col], "n_bytes": got["n_bytes"]}
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm_rate", "pcm")
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm_rate", "packed")
         made = []
         audios = [read_wav(m) for m in got["media"]]
         for whole, audio, stretches in zip(got["media"], audios, decode_together(audios), strict=True):
             made.append((
                 len(audio.data), hashlib.sha256(audio.data).hexdigest(), zlib.crc32(audio.data[-UNIT:]), len(whole), hashlib.sha256(whole).hexdigest(),
-                audio.codec, 2 * audio.rate, b"".join(x.tobytes() for x in resample_twice(stretches)),
+                audio.codec, 2 * audio.rate, pack_pcm(b"".join(x.tobytes() for x in resample_twice(stretches))),
             ))
         return out | {k: [m[i] for m in made] for i, k in enumerate(names)}
 
     kind = media.schema[id_col].dataType.simpleString()
-    made = map_rows(media, [id_col, "n_bytes", "media"], f"__id {kind}, {_DIGESTS}, codec string, pcm_rate int, pcm binary", rows, 64)
+    made = map_rows(media, [id_col, "n_bytes", "media"], f"__id {kind}, {_DIGESTS}, codec string, pcm_rate int, packed binary", rows, 64)
     return made.withColumnRenamed("__id", id_col)
 
 
 def describe_pcm(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``stored`` digests with ``feature``, computed from the PCM, in place of it."""
+    """``stored`` digests with ``feature``, computed from the stored PCM, in place of it."""
     names = [x.split()[0] for x in _DIGESTS.split(", ")]
 
     def rows(got: dict[str, list]) -> dict[str, list]:
         text = lambda k: [x.decode() for x in got[k]]
-        feature = [pcm_features(*x) for x in zip(text("codec"), got["pcm_rate"], got["pcm"], strict=True)]
+        feature = [pcm_features(c, r, unpack_pcm(x)) for c, r, x in zip(text("codec"), got["pcm_rate"], got["packed"], strict=True)]
         kept = {k: text(k) if k.endswith("sha256") else got[k] for k in names}
         return {"__id": got[id_col], **kept, "feature": feature}
 
     kind = stored.schema[id_col].dataType.simpleString()
-    made = map_rows(stored, [id_col, *names, "codec", "pcm_rate", "pcm"], f"__id {kind}, {_DIGESTS}, feature string", rows, 64)
+    made = map_rows(stored, [id_col, *names, "codec", "pcm_rate", "packed"], f"__id {kind}, {_DIGESTS}, feature string", rows, 64)
     return made.withColumnRenamed("__id", id_col)
 
 
 def through_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts stored as media, read back, stored as resampled PCM, and described from that."""
+    """Texts stored as media, read back, stored as resampled PCM, and described from that. The files of the media table are taken
+    in PORTIONS, each dropped once its PCM is written, so the disk never holds the media and the PCM of all rows together."""
     scratch = Scratch()
     media = scratch.written(store_text(df, id_col, text_col), "media", "zstd")
-    pcm = written(store_pcm(media, id_col), "pcm", "zstd")
+    spark, files = df.sparkSession, sorted(media.inputFiles())
+    if not files:  # an empty table may be written without any
+        return describe_pcm(store_pcm(media, id_col), id_col)
+    path = new_path(spark, "pcm")
+    for portion in [files[i::PORTIONS] for i in range(PORTIONS)]:
+        if portion:
+            pcm = store_pcm(spark.read.schema(media.schema).parquet(*portion), id_col)
+            pcm.write.mode("append").option("compression", "zstd").parquet(path)
+            drop_files(spark, portion)
     scratch.drop()
-    return describe_pcm(pcm, id_col)
+    return describe_pcm(spark.read.parquet(path), id_col)
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,25 @@ def test_telephony(spark, odd, none):
     assert telephony.decode_media(telephony.store_text(odd), keep=("doc_id",)).filter("pcm IS NULL").count() == 0
 
 
+def test_packed_pcm_is_lossless():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 7, 1000, 1001):
+        for low, high in ((-32768, 32768), (-3, 3)):
+            pcm = rng.integers(low, high, n).astype("<i2").tobytes()
+            assert telephony.unpack_pcm(telephony.pack_pcm(pcm)) == pcm
+    extremes = np.array([-32768, 32767, -32768, 32767, 32767, -32768], dtype="<i2").tobytes()
+    assert telephony.unpack_pcm(telephony.pack_pcm(extremes)) == extremes
+    resampled = np.concatenate(list(telephony.resample_twice(iter([telephony.MULAW, telephony.ALAW])))).tobytes()
+    assert not any(telephony.pack_pcm(resampled)[len(resampled) // 2 :])
+
+
+def test_telephony_media_in_portions(spark):
+    rows = [(i, _text(i, 30 + i)) for i in range(23)]
+    for parts in (1, 3, 9):
+        got = telephony.through_media(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["payload_sha256"]) for r in got) == [(i, hashlib.sha256(telephony.pad(t.encode())).hexdigest()) for i, t in rows]
+
+
 def test_telephony_codecs():
     codes = np.arange(256, dtype=np.uint8).tobytes()
     assert telephony.expand_mulaw(telephony.compress_mulaw(telephony.MULAW)).tolist() == telephony.MULAW.tolist()
