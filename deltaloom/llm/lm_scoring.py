@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from deltaloom.llm import words
 from deltaloom.llm.arrow import schema
-from deltaloom.llm.shared import Scratch, bound_batches, written
+from deltaloom.llm.shared import Scratch, bound_batches, least_keys, written
 from deltaloom.llm.substring_dedup import with_rid
 
 BUCKET = 3_000_000
@@ -112,7 +112,8 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 def _hot_keys(docs: DataFrame) -> np.ndarray:
     """Keys that occur at least LEAST_HOT times in a sample of SAMPLE documents, HOT of them at most."""
-    sample = docs.filter(F.length("text") <= SAMPLE_CHARS).orderBy("rid").limit(SAMPLE).select("text")
+    short = docs.filter(F.length("text") <= SAMPLE_CHARS)
+    sample = least_keys(short.select("rid", "text"), "rid", SAMPLE, docs.count()).select("text")
     parts = [np.concatenate((t, p)) for t, _, p in (keys((r[0] or "").encode()) for r in sample.toLocalIterator())]
     if not parts:
         return np.empty(0, _U)

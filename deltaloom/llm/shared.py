@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that goes to Python, whatever the number of its rows.
 ARROW_BYTES = 16 << 20
@@ -39,6 +40,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def least_keys(df: DataFrame, key_col: str, n: int, rows: int) -> DataFrame:
+    """A sample of ``df``, which has about ``rows`` rows: those with the ``n`` least keys, evenly spread bytes. Only keys below a
+    bound under which twice as many rows are expected are ordered, or each partition would send ``n`` rows to the one task that
+    orders them. Where many rows share a key the sample may be smaller."""
+    if rows > 4 * n:
+        bound = (2 * n << 64) // rows
+        df = df.filter(F.col(key_col) < F.lit(bytearray(bound.to_bytes(8, "big"))))
+    return df.orderBy(key_col).limit(n)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read from a reliable checkpoint, made now."""
     shared_dir(df.sparkSession)

@@ -330,6 +330,16 @@ def test_telephony(spark, odd, none):
     assert telephony.decode_media(telephony.store_text(odd), keep=("doc_id",)).filter("pcm IS NULL").count() == 0
 
 
+def test_least_keys(spark):
+    from deltaloom.llm.shared import least_keys
+
+    keyed = spark.range(1000).withColumn("key", F.unhex(F.md5(F.col("id").cast("string"))))
+    want = sorted((hashlib.md5(str(i).encode()).digest(), i) for i in range(1000))
+    for n in (0, 1, 10, 100, 400, 2000):
+        got = sorted(r["id"] for r in least_keys(keyed, "key", n, 1000).collect())
+        assert set(got) <= {i for _, i in want[:n]} and (len(got) >= min(n, 1000) or n < 10)
+
+
 def test_packed_pcm_is_lossless():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 3, 7, 1000, 1001):
