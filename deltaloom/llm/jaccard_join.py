@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from deltaloom.llm import words
 from deltaloom.llm.arrow import map_rows
 from deltaloom.llm.components import components
-from deltaloom.llm.shared import Scratch, written
+from deltaloom.llm.shared import Scratch, least_keys, written
 
 BROADCAST_IDS = 2_000_000
 HUB_ROUNDS = 3
@@ -314,7 +314,7 @@ def near_duplicates(
     copied = classes.join(firsts.filter("n_rows > 1"), "key").filter("id <> first").select("id").distinct()
     copies = scratch.written(copied.join(firsts.select(F.col("first").alias("id")), "id", "left_anti"), "copies")
 
-    sample = firsts.orderBy("key").limit(SAMPLE).select(F.col("first").alias("id"))
+    sample = least_keys(firsts, "key", SAMPLE, firsts.count()).select(F.col("first").alias("id"))
     sampled = scratch.written(map_rows(_first_texts(docs, sample), ["id", "text"], spelling, spell, 64), "sample")
     common = common_features(sampled)
 
