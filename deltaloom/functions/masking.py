@@ -1,5 +1,7 @@
 """Masking, hashing and scrambling of columns, as Catalyst expressions. Null stays null; lengths are those of characters."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,23 @@ def date_in_range(c: Column, low: str, high: str, seed: str = "") -> Column:
     return F.when(c.isNotNull(), F.date_add(first, F.pmod(uniform_hash(c, seed), F.datediff(last, first) + 1).cast("int")))
 
 
+def in_span(c: Column, span: str, kind: str, seed: str = "span") -> Column:
+    """A value of a range such as ``[1,10)`` of bigint, double, date or timestamp; for doubles a bracket includes its bound or not
+    without a difference."""
+    found = re.fullmatch(r"\s*([\[(])\s*([^,]+?)\s*,\s*([^,]+?)\s*([\])])\s*", span)
+    if not found or kind not in ("bigint", "double", "date", "timestamp"):
+        raise ValueError(f"no range of {kind}: {span!r}")
+    low, high = F.lit(found[2]).cast(kind), F.lit(found[3]).cast(kind)
+    h = uniform_hash(c, seed)
+    if kind == "double":
+        return F.when(c.isNotNull(), low + (high - low) * h / F.lit(float(2**60)))
+    number = {"bigint": lambda x: x, "date": F.unix_date, "timestamp": F.unix_micros}[kind]
+    back = {"bigint": lambda x: x, "date": lambda x: F.date_from_unix_date(x.cast("int")), "timestamp": F.timestamp_micros}[kind]
+    first = number(low).cast("long") + int(found[1] == "(")
+    count = number(high).cast("long") - int(found[4] == ")") - first + 1
+    return F.when(c.isNotNull() & (count > 0), back(first + F.try_mod(h, count)))
+
+
 def choice(c: Column, values: list[str], seed: str = "") -> Column:
     picked = F.element_at(F.array(*map(F.lit, values)), (F.pmod(uniform_hash(c, seed), F.lit(len(values))) + 1).cast("int"))
     return F.when(c.isNotNull(), picked)

@@ -150,3 +150,28 @@ def noise(c: Column, ratio: float, seed: str = "") -> Column:
 def date_noise(c: Column, days: int, seed: str = "") -> Column:
     """A date at most ``days`` days off."""
     return F.date_add(c.cast("date"), (F.pmod(M.uniform_hash(c, f"days{seed}"), F.lit(2 * days + 1)) - days).cast("int"))
+
+
+LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
+
+
+def lorem_ipsum(c: Column, count: int = 0, unit: str = "paragraphs") -> Column:
+    """``count`` characters, words or paragraphs (of 40 words; 0: five paragraphs) that the value decides."""
+    if unit not in ("characters", "words", "paragraphs") or count < 0 or (not count and unit != "paragraphs"):
+        raise ValueError(f"no filler text of {count} {unit}")
+    count = count or 5
+    start = F.pmod(M.uniform_hash(c, "lorem"), F.lit(len(LOREM)))
+    listed = F.array(*map(F.lit, LOREM))
+
+    def words(n: int, after: Column | None = None) -> Column:
+        first = start if after is None else start + after
+        one = lambda i: F.element_at(listed, (F.pmod(first + i * 7, F.lit(len(LOREM))) + 1).cast("int"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one), " ")
+
+    if unit == "words":
+        made = words(count)
+    elif unit == "characters":
+        made = F.substring(words(count // 3 + 1), 1, count)
+    else:
+        made = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda p: words(40, p)), "\n")
+    return F.when(c.isNotNull(), made)

@@ -83,3 +83,19 @@ def label_rules(labels: DataFrame) -> DataFrame:
     named = labels.withColumn("transformer", F.when(function != "", F.concat(F.lit("anon_"), F.lower(function))).when(value != "", "literal_string"))
     given = F.when(function != "", parameters).when(value != "", F.array(F.regexp_replace(value, r"^'(.*)'$", "$1")))
     return named.filter("transformer IS NOT NULL").select("schema", "table", "column", "transformer", given.alias("parameters"))
+
+
+def connection_headroom(servers: DataFrame, demand: Column) -> DataFrame:
+    """Servers (server, max_connections, reserved, used) with fewer free connections than ``demand``: (server, needed, available)."""
+    free = F.greatest(F.col("max_connections") - F.col("reserved") - F.col("used"), F.lit(0))
+    found = servers.select("server", demand.cast("long").alias("needed"), free.cast("long").alias("available"))
+    return found.filter("needed > available")
+
+
+def preflight(**checks: DataFrame) -> DataFrame:
+    """Findings of all checks in one table: check, severity (error) and the finding as JSON. No row: all passed."""
+    out = None
+    for name, findings in checks.items():
+        rows = findings.select(F.lit(name).alias("check"), F.lit("error").alias("severity"), F.to_json(F.struct("*")).alias("finding"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -1,5 +1,8 @@
 """Schema changes: classification of statements, extraction of what they change, and the strict-mode gate."""
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +120,45 @@ def dump_parts(lines: DataFrame, views: tuple[str, ...] = ()) -> DataFrame:
         .otherwise("main")
     )
     return lines.filter((line != "") & ~line.startswith("--")).select("n", "line", part.alias("part"))
+
+
+#: Commands that a dump's statements are kept for, fixed values.
+TAGS = (
+    "ALTER EXTENSION", "ALTER FUNCTION", "ALTER MATERIALIZED VIEW", "ALTER PROCEDURE", "ALTER SCHEMA", "ALTER SEQUENCE", "ALTER TABLE", "ALTER TYPE",
+    "ALTER VIEW", "COMMENT ON", "COMMENT ON COLUMN", "COMMENT ON CONSTRAINT", "COMMENT ON INDEX", "COMMENT ON TABLE", "CREATE CONSTRAINT",
+    "CREATE EXTENSION", "CREATE FUNCTION", "CREATE INDEX", "CREATE MATERIALIZED VIEW", "CREATE PROCEDURE", "CREATE SCHEMA", "CREATE SEQUENCE",
+    "CREATE TABLE", "CREATE TRIGGER", "CREATE TYPE", "CREATE UNIQUE INDEX", "CREATE VIEW", "DROP EXTENSION", "DROP FUNCTION", "DROP INDEX",
+    "DROP MATERIALIZED VIEW", "DROP PROCEDURE", "DROP SCHEMA", "DROP SEQUENCE", "DROP TABLE", "DROP TRIGGER", "DROP TYPE", "DROP VIEW", "GRANT", "REVOKE",
+)
+
+#: What a statement is made of: a comment, quoted text or name, a dollar-quoted body, the end, or other characters.
+_PIECE = re.compile(
+    r"""(?s)(?P<skip>--[^\n]*|/\*.*?\*/|(?m:^\\[^\n]*))|(?P<end>;)|'(?:[^']|'')*'|"(?:[^"]|"")*"|\$(?P<tag>\w*)\$.*?\$(?P=tag)\$|[^'"$;/\\-]+|."""
+)
+
+
+def split_statements(text: str) -> list[str]:
+    """Statements of a dump without their semicolons, one that is unfinished at the end left out. Comments and lines of backslash
+    commands go; quoted and dollar-quoted text is kept as it is."""
+    out: list[str] = []
+    parts: list[str] = []
+    for piece in _PIECE.finditer(text):
+        if piece["end"]:
+            out.append("".join(parts).strip())
+            parts = []
+        elif not piece["skip"]:
+            parts.append(piece[0])
+    return [s for s in out if s]
+
+
+def dump_statements(dumps: DataFrame) -> DataFrame:
+    """Statements (source, n, tag, statement) of whole dumps (source, text) with a known tag; none of a null text."""
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_statements(t or ""))
+
+    found = dumps.select("source", F.posexplode(split("text")).alias("n", "statement"))
+    plain = F.upper(F.regexp_replace(F.regexp_replace("statement", r"\s+", " "), r"(?i)^CREATE OR REPLACE ", "CREATE "))
+    tag = F.coalesce(*[F.when(plain.startswith(f"{t} "), t) for t in sorted(TAGS, key=len, reverse=True)])
+    return found.select("source", F.col("n").cast("long").alias("n"), tag.alias("tag"), "statement").filter("tag IS NOT NULL")

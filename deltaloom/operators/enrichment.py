@@ -48,3 +48,9 @@ def pinned(table: DataFrame, columns: list[str]) -> DataFrame:
 def sanitize(c: Column) -> Column:
     """Without the character U+0000, which text columns cannot hold."""
     return F.replace(c, F.chr(F.lit(0)), F.lit(""))
+
+
+def row_id(*key: Column) -> Column:
+    """An id of 20 characters (0-9a-v) for a row from its key: 96 bits of a hash, so that reruns agree."""
+    bits = F.concat(F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(k.cast("string"), F.lit("\x1e")) for k in key]), 256), 1, 24), F.lit("0"))
+    return F.concat(*[F.lpad(F.lower(F.conv(F.substring(bits, 1 + 5 * i, 5), 16, 32)), 4, "0") for i in range(5)])

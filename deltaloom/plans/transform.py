@@ -65,7 +65,15 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "anon_pseudo_first_name": lambda c, salt="": M.choice(c, S.FEMALE + S.MALE, f"pseudo{salt}"),
     "anon_pseudo_last_name": lambda c, salt="": M.choice(c, S.LAST, f"pseudo{salt}"),
     "anon_pseudo_email": lambda c, salt="": S.email(c, "@example.com", "", f"pseudo{salt}"),
-    "anon_image_blur": lambda c: c,
+    "anon_random_in_int4range": lambda c, range: M.in_span(c, range, "bigint"),
+    "anon_random_in_int8range": lambda c, range: M.in_span(c, range, "bigint"),
+    "anon_random_in_numrange": lambda c, range: M.in_span(c, range, "double"),
+    "anon_random_in_daterange": lambda c, range: M.in_span(c, range, "date"),
+    "anon_random_in_tsrange": lambda c, range: M.in_span(c, range, "timestamp"),
+    "anon_random_in_tstzrange": lambda c, range: M.in_span(c, range, "timestamp"),
+    "anon_random_in_enum": lambda c, values: M.choice(c, values, "enum"),
+    "anon_random_zip": lambda c: M.text_of(c, 5, "0123456789", "zip"),
+    "anon_lorem_ipsum": lambda c, count=0, unit="paragraphs": S.lorem_ipsum(c, count, unit),
     "greenmask_uuid": M.uuid,
     "anon_digest": lambda c, salt="", hash_algorithm="sha256": M.digest(c, salt, hash_algorithm),
     "anon_hash": lambda c: M.digest(c),

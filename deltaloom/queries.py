@@ -12,7 +12,7 @@ from deltaloom.functions import masking as M
 from deltaloom.functions import positions as P
 from deltaloom.functions import scramble
 from deltaloom.operators import apply as A
-from deltaloom.operators import checks, ddl, documents, enrichment, selection, snapshot
+from deltaloom.operators import checks, ddl, delivery, documents, enrichment, object_types, selection, snapshot
 from deltaloom.operators.batching import backoff, drops, lag, lane_batches
 from deltaloom.plans.transform import Rule, transform
 from deltaloom.sources.change_stream import ndjson, orders_changes
@@ -719,3 +719,126 @@ def document_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 def processing_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.to_timestamp(F.lit("2030-01-01"))
     return _read(spark, sf_dir, "events").select("event_id", lag(now, F.col("ts").cast("timestamp")).alias("lag_us"))
+
+
+# --- filters by kind of object, writers, checks
+
+
+def _cases(spark: SparkSession, sf_dir: str, **lists: list) -> DataFrame:
+    """Nations with one entry of each list, by their key."""
+    return _read(spark, sf_dir, "nation").select(
+        "n_nationkey", *[F.element_at(F.array(*map(F.lit, v)), (F.col("n_nationkey") % len(v) + 1).cast("int")).alias(k) for k, v in lists.items()]
+    )
+
+
+_TAGS = ["CREATE TABLE", "CREATE INDEX", "REFRESH MATERIALIZED VIEW", "CREATE TABLESPACE", "ALTER AGGREGATE", "DROP TEXT SEARCH PARSER"]
+
+
+@query(
+    "SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'tables' WHEN 1 THEN 'indexes' WHEN 2 THEN 'materialized_views' WHEN 5 THEN 'text_search' END AS category,"
+    " n_nationkey % 6 IN (1, 2) AS skipped FROM nation"
+)
+def ddl_tag_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skipped = object_types.skips_statement(F.array().cast("array<string>"), F.col("tag"), exclude=("indexes", "materialized_views"))
+    return _cases(spark, sf_dir, tag=_TAGS).select("n_nationkey", object_types.category_of_tag(F.col("tag")).alias("category"), skipped.alias("skipped"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 4 IN (0, 3) AS header_kept, n_nationkey % 4 <> 1 AS cleanup_kept FROM nation")
+def dump_sections_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = ["-- Name: s; Type: SCHEMA; Schema: -;", "-- Name: p; Type: ROW SECURITY; Schema: s;", "-- Name: q; Type: POLICY; Schema: s;", "-- Name: t; Type: TABLE; Schema: s;"]
+    lines = ["DROP SCHEMA IF EXISTS s;", "DROP POLICY p ON s.t;", "DROP TABLESPACE x;", "DROP TABLE s.t;"]
+    made = _cases(spark, sf_dir, header=headers, line=lines)
+    header = object_types.keeps_section(F.col("header"), exclude=("policies",))
+    return made.select("n_nationkey", header.alias("header_kept"), object_types.keeps_cleanup(F.col("line"), exclude=("policies",)).alias("cleanup_kept"))
+
+
+@query(
+    "SELECT * FROM (VALUES (0::BIGINT, 'CREATE TABLE', 'CREATE TABLE t (a text DEFAULT '';'')'), (1, 'CREATE FUNCTION', 'CREATE OR REPLACE FUNCTION f() AS $x$ a; -- b; $x$'),"
+    " (3, 'COMMENT ON COLUMN', 'COMMENT ON COLUMN t.a IS ''--''')) v(n, tag, statement)"
+)
+def dump_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = (
+        "-- head; er\n\\connect a-b\nCREATE TABLE t (a text DEFAULT ';');\nCREATE OR REPLACE FUNCTION f() AS $x$ a; -- b; $x$;"
+        "SET x = 1;\n\nCOMMENT ON COLUMN t.a IS '--';\nCREATE TABLE half"
+    )
+    return ddl.dump_statements(spark.createDataFrame([("d", text), ("none", None)], "source string, text string")).select("n", "tag", "statement")
+
+
+@query(
+    "SELECT o_orderkey, lower(" + " || ".join(f"lpad(to_base(('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT, 32), 4, '0')" for i in range(5)) + ") AS row_id"
+    " FROM (SELECT o_orderkey, substr(sha256(o_orderkey || chr(31) || o_custkey), 1, 24) || '0' AS h FROM orders)"
+)
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select("o_orderkey", enrichment.row_id(F.col("o_orderkey"), F.col("o_custkey")).alias("row_id"))
+
+
+@query(CHANGES + "SELECT action = 'I' AS loaded, count(*) AS n FROM c GROUP BY 1")
+def bulk_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loaded, lost = delivery.bulk_ingest(_changes(spark, sf_dir))
+    both = loaded.select(F.lit(True).alias("loaded")).unionByName(lost.select(F.lit(False).alias("loaded")))
+    return both.groupBy("loaded").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WRITTEN = "count(*) FILTER (WHERE o_orderkey % 5 <> 0 OR o_orderstatus = 'F')"
+
+
+@query(f"SELECT o_orderstatus AS \"table\", count(*) AS asked, {_WRITTEN} AS written FROM orders GROUP BY 1 HAVING count(*) <> {_WRITTEN}")
+def bulk_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("table"))
+    return delivery.row_counts(asked, asked.filter("o_orderkey % 5 <> 0 OR `table` = 'F'"), "table")
+
+
+@query(
+    "SELECT event_id, count(*) FILTER (WHERE event_type = 'error' AND event_id % 50 = 0) OVER (PARTITION BY event_type = 'error' ORDER BY event_id) AS flush FROM events"
+)
+def search_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("lane"))
+    return delivery.flushes(events, "lane", F.col("lane") & (F.col("event_id") % 50 == 0), "event_id").select("event_id", "flush")
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'again' ELSE 'dropped' END AS outcome FROM nation WHERE n_nationkey % 3 < 2")
+def search_resends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    again, lost = delivery.resends(_cases(spark, sf_dir, severity=["retriable", "data_loss", "none"]))
+    return again.select("n_nationkey", F.lit("again").alias("outcome")).unionByName(lost.select("n_nationkey", F.lit("dropped").alias("outcome")))
+
+
+@query("SELECT user_id::VARCHAR AS url, arg_max(event_type, event_id) AS type FROM events GROUP BY user_id HAVING arg_max(event_id % 4, event_id) <> 0")
+def subscription_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("url"), F.lit(None).cast("string").alias("schema"), F.lit("t").alias("table"), F.array("event_type").alias("types"),
+        F.when(F.col("event_id") % 4 == 0, "unsubscribe").otherwise("subscribe").alias("action"), F.col("event_id").alias("pos"),
+    )
+    return delivery.subscriptions(requests).select("url", F.col("types")[0].alias("type"))
+
+
+_ERRORS = [("42P01", "relation_missing"), ("22003", "data_exception"), ("23505", "constraint_violation"), ("42P07", "relation_exists"), ("54000", "limit_exceeded"), ("08006", "other")]
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_ERRORS)) + " END AS class FROM nation")
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _cases(spark, sf_dir, code=[code for code, _ in _ERRORS])
+    return made.select("n_nationkey", delivery.error_class(F.col("code"), F.lit("cache lookup failed")).alias("class"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'snapshot' ELSE 'replication' END AS phase, count(*) AS n FROM orders GROUP BY 1")
+def event_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phase = delivery.phase(F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(F.col("o_orderkey")))
+    return _read(spark, sf_dir, "orders").select(phase.alias("phase")).groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT 'connections' AS \"check\", 'error' AS severity, '{\"server\":' || n_nationkey || ',\"needed\":16,\"available\":' || greatest(20 - n_nationkey, 0) || '}' AS finding"
+    " FROM nation WHERE greatest(20 - n_nationkey, 0) < 16"
+)
+def preflight_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = F.lit(23).alias("max_connections"), F.lit(3).alias("reserved")
+    servers = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("server"), *limits, F.col("n_nationkey").alias("used"))
+    return checks.preflight(connections=checks.connection_headroom(servers, F.lit(16)))
+
+
+@query(
+    "SELECT c_custkey, 5 + ('0x' || substr(md5('span' || c_custkey), 1, 15))::BIGINT % 10 AS a, 6 + ('0x' || substr(md5('span' || c_custkey), 1, 15))::BIGINT % 10 AS b FROM customer"
+)
+def anon_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _customers(spark, sf_dir, a=F.col("c_custkey"), b=F.col("c_custkey"))
+    return transform(made, [Rule("a", "anon_random_in_int4range", {"range": "[5,15)"}), Rule("b", "anon_random_in_int8range", {"range": "(5,15]"})])

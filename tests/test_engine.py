@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -6,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaloom import queries as Q
+from deltaloom import __main__ as command
 from deltaloom.functions import keys, masking, positions, scramble, structured
+from deltaloom.operators import ddl, delivery, object_types
 from deltaloom.operators.batching import Tuner, boundaries
 from deltaloom.operators.selection import Selection, parse
+from deltaloom.plans import config
 from deltaloom.plans.transform import REGISTRY, Rule, compile_rules, transform
 from deltaloom.sources import change_stream
 from deltaloom.streaming import runner
@@ -225,3 +229,79 @@ def test_strict_writes_fail(spark):
     with pytest.raises(ValueError):
         Q.enrichment.pinned(rows, ["gone"])
     assert Q.enrichment.pinned(rows, ["gone", "id"]).columns == ["id"]
+
+
+def test_categories_of_objects(spark):
+    assert object_types.excluded(object_types.STATEMENTS, include=("tables",)) == set(object_types.STATEMENTS) - {"tables"}
+    for wrong in ({"include": ("tables",), "exclude": ("views",)}, {"exclude": ("nothing",)}):
+        with pytest.raises(ValueError):
+            object_types.excluded(object_types.STATEMENTS, **wrong)
+    rows = spark.createDataFrame([(["table", "index"], "CREATE TABLE"), (["INDEX"], "CREATE TABLE"), (None, "DROP INDEX"), (None, None)], "types array<string>, tag string")
+    got = rows.select(object_types.skips_statement(F.col("types"), F.col("tag"), exclude=("indexes",))).collect()
+    assert [r[0] for r in got] == [False, True, True, False]
+
+
+def test_long_dumps_are_split():
+    body = "x; 'y" * 100_000
+    text = f"CREATE FUNCTION f() AS $$ {body} $$;\n\\restrict a;b\nSELECT 'it''s;' /* ; */;SELECT \"a;b\" - 1;'open"
+    assert ddl.split_statements(text) == [f"CREATE FUNCTION f() AS $$ {body} $$", "SELECT 'it''s;'", 'SELECT "a;b" - 1']
+    assert ddl.split_statements("") == []
+
+
+def test_documents_are_sent_again(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    sent = []
+
+    def store(documents):
+        sent.append(sorted(r[0] for r in documents.collect()))
+        severity = F.when(F.col("id") == 1, "data_loss").when((F.col("id") == 2) | ((F.col("id") == 3) & F.lit(len(sent) == 1)), "retriable").otherwise("none")
+        return documents.select("id", severity.alias("severity"))
+
+    left = delivery.send(spark.range(5), store, 3)
+    assert sent == [[0, 1, 2, 3, 4], [2, 3], [2]]
+    assert sorted(map(tuple, left.collect())) == [(1, "data_loss"), (2, "retriable")]
+
+
+def test_error_classes_without_code(spark):
+    rows = spark.createDataFrame([("XX000", "cache lookup failed for type 1"), ("XX000", "x"), (None, "x"), ("23505", None)], "code string, message string")
+    got = [r[0] for r in rows.select(delivery.error_class(F.col("code"), F.col("message"))).collect()]
+    assert got == ["cache_lookup_failed", "other", None, "constraint_violation"]
+
+
+def test_ranges_and_filler_text(spark):
+    assert "anon_image_blur" not in REGISTRY  # not built: it must not pass values through
+    got = _one(spark, ("anon_random_in_daterange", {"range": "[2020-01-01,2020-01-02)"}), "a")
+    assert [str(r[0]) for r in got] == ["2020-01-01", "None"]
+    for name, span in (("anon_random_in_tsrange", "[2020-01-01 00:00:00,2020-01-01 00:00:01)"), ("anon_random_in_numrange", "[1,2)")):
+        got = _one(spark, (name, {"range": span}), "a")
+        assert str(got[0][0]).startswith(("2020-01-01 00:00:00", "1.")) and got[1][0] is None
+    assert _one(spark, ("anon_random_in_int4range", {"range": "(5,6)"}), "a")[0][0] is None  # an empty range
+    assert len(_one(spark, ("anon_lorem_ipsum", {"count": 50, "unit": "characters"}), "a")[0][0]) == 50
+    assert len(_one(spark, ("anon_lorem_ipsum", {"count": 7, "unit": "words"}), "a")[0][0].split()) == 7
+    assert _one(spark, ("anon_lorem_ipsum", {}), "a")[0][0].count("\n") == 4
+    with pytest.raises(ValueError):
+        _one(spark, ("anon_random_in_int4range", {"range": "5"}), "a")
+
+
+def test_sizes_and_environment():
+    assert [config.byte_size(x) for x in ("64MiB", "1g", "100", "", "1.5kb", 7)] == [64 << 20, 1 << 30, 100, 0, 1536, 7]
+    with pytest.raises(ValueError):
+        config.byte_size("10 apples")
+    assert config.expand({"a": ["$X/${Y}", 1]}, {"X": "x"}) == {"a": ["x/", 1]}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = tmp_path / "c.json"
+    tables = [{"table": t, "path": f"{SF}/{t}.parquet"} for t in ("nation", "region")]
+    masked = [{"table": "nation", "columns": {"n_name": {"name": "literal_string", "parameters": {"literal": "x"}}}}]
+    given = {"source": {"tables": tables}, "target": {"table": f"{tmp_path}/out"}, "tables": {"include": ["nation"]}, "transformations": masked}
+    path.write_text(json.dumps(given))
+    assert command.main(["snapshot", str(path)]) == 0
+    assert command.main(["snapshot", str(path)]) == 0  # what is copied is not copied again
+    assert command.main(["status", str(path)]) == 0
+    assert [json.loads(x) for x in capsys.readouterr().out.split("\n") if x] == [{"copied": ["public.nation"]}, {"copied": []}, {"copied": ["public.nation"]}]
+    assert spark.read.parquet(f"{tmp_path}/out/public.nation").select("n_name").distinct().collect()[0][0] == "x"
+    masked[0]["columns"]["n_name"]["name"] = "unheard_of"
+    path.write_text(json.dumps(given | {"target": {"table": "a", "ndjson": "b"}}))
+    assert command.main(["validate", str(path)]) == 1
+    assert len(json.loads(capsys.readouterr().out)["findings"]) == 2
