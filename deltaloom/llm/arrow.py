@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,25 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives back what it freed: workers outlive tasks, and idle ones count as well."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 _SIMPLE = {
     "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(),
 }
@@ -51,7 +71,7 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
     bound_batches(df.sparkSession)
-    return df.select(*[df[name] for name in inputs]).mapInArrow(run, made_of)
+    return df.select(*[df[name] for name in inputs]).mapInArrow(tidy(run), made_of)
 
 
 def add_columns(
@@ -84,4 +104,4 @@ def add_columns(
                 arrays = [*batch.columns, *[pa.array(made[f.name], type=f.type) for f in new]]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, made_of)
+    return df.mapInArrow(tidy(run), made_of)

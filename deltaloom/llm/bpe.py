@@ -55,6 +55,7 @@ class WordBpe:
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = token
         self.numbers = [str(i) for i in range(len(self.tokens))]
+        self.shared = list(range(len(self.tokens)))  # one object for each id, however many words of the memo have it
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -153,7 +154,7 @@ class WordBpe:
             done = least == _NONE
             if done.any():
                 for r, ids in zip(row[done].tolist(), parts[done].tolist(), strict=True):
-                    out[r] = tuple(ids[: ids.index(self.pad)])
+                    out[r] = tuple(map(self.shared.__getitem__, ids[: ids.index(self.pad)]))
                 row, parts, ranks, at, least = (x[~done] for x in (row, parts, ranks, at, least))
                 if not len(row):
                     break

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.llm import words
-from deltaloom.llm.arrow import map_rows
+from deltaloom.llm.arrow import map_rows, tidy
 from deltaloom.llm.components import components
 from deltaloom.llm.shared import Scratch, least_keys, written
 
@@ -146,7 +146,7 @@ def common_features(sets: DataFrame, least: int = 5) -> np.ndarray:
                 x = np.frombuffer(s.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x[0] if len(x) else 0)), pa.array(x)], names=["owner", "feature"])
 
-    each = sets.select("features").mapInArrow(spread, "owner long, feature long").groupBy("feature", "owner").agg(F.count(F.lit(1)).alias("n"))
+    each = sets.select("features").mapInArrow(tidy(spread), "owner long, feature long").groupBy("feature", "owner").agg(F.count(F.lit(1)).alias("n"))
     both = each.groupBy("feature").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n")).filter(f"owners >= {least} AND 2 * owners >= n")
     return np.sort(both.select("feature").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
 
@@ -209,7 +209,7 @@ def _in_reach(pairs: DataFrame, sketches: DataFrame, part: int, whole: int) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return sized.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(near, f"a {kind}, b {kind}")
+    return sized.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(tidy(near), f"a {kind}, b {kind}")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, f"u {kind}, v {kind}")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), f"u {kind}, v {kind}")
 
 
 def _cell(features: np.ndarray) -> np.ndarray:
@@ -254,7 +254,7 @@ def _by_prefix(members: DataFrame, sets: DataFrame, part: int, whole: int, scrat
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["cell", "times"])
 
-    cells = own.select("features").mapInArrow(count, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
+    cells = own.select("features").mapInArrow(tidy(count), "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
     counts = np.zeros(CELLS, np.int64)
     table = cells.toArrow()  # CELLS rows at most
     counts[table.column("cell").to_numpy()] = table.column("times").to_numpy()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from deltaloom.llm import words
-from deltaloom.llm.arrow import add_columns, schema
+from deltaloom.llm.arrow import add_columns, schema, tidy
 from deltaloom.llm.shared import Scratch, bound_batches, written
 
 WINDOW = 35
@@ -239,7 +239,7 @@ def _grow_trees(window: int, prefix: int) -> Callable:
 
 
 def _trees(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
-    return suffixes.repartition(*_DEALT).sortWithinPartitions(*_DEALT).mapInArrow(_grow_trees(window, prefix), _MARKS)
+    return suffixes.repartition(*_DEALT).sortWithinPartitions(*_DEALT).mapInArrow(tidy(_grow_trees(window, prefix)), _MARKS)
 
 
 def _lengthened(suffixes: DataFrame, width: int, window: int) -> DataFrame:
@@ -261,7 +261,7 @@ def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PRE
     are plain tables, of which a hot prefix can be split at run time."""
     bound_batches(docs.sparkSession)
     early, late, marks = Scratch(), Scratch(), []
-    found = early.written(docs.select("rid", text_col).mapInArrow(_find_anchors(window, prefix), _ANCHORS), "anchors")
+    found = early.written(docs.select("rid", text_col).mapInArrow(tidy(_find_anchors(window, prefix)), _ANCHORS), "anchors")
     often = early.written(found.groupBy(F.col("prefix").alias("twice")).agg(F.sum("n").alias("times")).filter("times > 1"), "often")
     kept = found.join(often, found["prefix"] == often["twice"]).select("rid", F.struct("prefix", "pos", (F.col("times") > group).alias("over")).alias("anchor"))
     lists = late.written(kept.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("anchors")), "lists")
@@ -272,7 +272,7 @@ def mark(docs: DataFrame, text_col: str, window: int = WINDOW, prefix: int = PRE
         some = lists.withColumn("anchors", F.filter("anchors", lambda a: a["over"] == F.lit(over))).filter(F.size("anchors") > 0)
         near = docs.select("rid", text_col).join(some, docs["rid"] == some["__rid"])
         places = tuple(near.columns.index(c) for c in ("rid", text_col, "anchors"))
-        return near.mapInArrow(_cut_suffixes(*places, window, prefix), _SUFFIXES)
+        return near.mapInArrow(tidy(_cut_suffixes(*places, window, prefix)), _SUFFIXES)
 
     marks.append(written(_trees(suffixes(False), window, prefix), "marks"))
     reaches = window - prefix + 1
@@ -336,7 +336,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 columns.append(pa.array([hashlib.sha256(m[2]).hexdigest() for m in made]))
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([m[2].decode() for m in made])] * texts, names=["id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
 
-    return marked.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return marked.mapInArrow(tidy(run), out).withColumnRenamed("id", id_col)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -2,15 +2,17 @@ import collections
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltaloom.llm import bpe, html_extract, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, substring_dedup, telephony, warc, words
+from deltaloom.llm import arrow, bpe, html_extract, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, substring_dedup, telephony, warc, words
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, id string, score double, row int"
@@ -48,6 +50,36 @@ def test_words_match_split():
         assert h.tolist() == [again[w] for w in data.split()]
 
 
+def test_arrow_batches_are_small(spark):
+    docs = spark.range(48, numPartitions=1).select(F.repeat(F.col("id").cast("string"), 1 << 19).alias("text"))
+    made = arrow.map_rows(docs, ["text"], "n long", lambda got: {"n": [sum(map(len, got["text"]))] * len(got["text"])}, 1000)
+    assert max(r.n for r in made.collect()) <= 4 << 20
+
+
+def test_workers_give_memory_back():
+    def resident():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    pins = []
+
+    def run(batches):
+        held = [b"x" * 20_000 for _ in range(4000)]
+        pins.append(held[-1])  # keeps what lies below it from being trimmed unasked
+        del held
+        yield from batches
+
+    before = resident()
+    assert list(arrow.tidy(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 40
+
+
+def test_bpe_memo_shares_ids():
+    tokenizer = bpe.WordBpe(bpe.vocabulary_path())
+    tokenizer.encode(" ".join(f"{a}q{b}nothing" for a in "jkqvxz" for b in "jkqvxz"))
+    ids = [i for word in tokenizer.memo.values() for i in word]
+    assert len({id(i) for i in ids}) == len(set(ids))
+
+
 def test_bpe_equals_library(spark, odd, none):
     from tokenizers import Tokenizer
 
