@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import random
@@ -201,6 +202,23 @@ def test_aes_siv(spark):
         _one(spark, ("encrypted_aes_siv", {"key_hex": "00"}), "a")
 
 
+def test_aes_siv_many(spark, monkeypatch):
+    """Texts of a batch are encrypted together, as by the code that took them one by one (its digests)."""
+    texts = [bytes(i * j % 251 for j in range(i)) for i in [*range(70), 1000, 5, 33]]
+    singly, block = [], structured.Aes.block
+    monkeypatch.setattr(structured.Aes, "block", lambda self, data: singly.append(1) or block(self, data))
+    for data, digest in ((b"customer",), "6a27dede073763e5347b956d31ceaf60c05bb36418dbb9b31bf94b8fd852180f"), ((), "8c194444c4c8e96eb62a169f4cf7afd0d42db01e267135abf65eb064eae82ca1"):
+        siv = structured.Siv(bytes(range(64)), *data)
+        assert hashlib.sha256(b"".join(siv.encrypt(texts))).hexdigest() == digest
+        assert [structured.aes_siv(bytes(range(64)), t, *data) for t in texts] == siv.encrypt(texts)
+    many = [b"Customer#%09d" % i for i in range(20_000)]
+    singly.clear()
+    assert len(set(siv.encrypt(many))) == len(many) and len(singly) < 10
+    assert siv.encrypt([]) == []
+    got = _one(spark, ("encrypted_aes_siv", {"key_hex": "0f" * 64}), "")
+    assert [r[0] and len(r[0]) for r in got] == [22, None]
+
+
 def test_names_and_lengths(spark):
     for n in (1, 2, 4, 7, 12):
         for name in ("neosync_firstname", "neosync_lastname", "neosync_string"):
