@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaloom.operators.sizes import if_small
+#: Ranges that positions are dealt to.
+_RANGES = 64
 
 
 def bulk_ingest(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,15 +25,38 @@ def row_counts(asked: DataFrame, written: DataFrame, by: str) -> DataFrame:
     return joined.filter("asked <> written")
 
 
+def _bounds(df: DataFrame, order: str) -> list:
+    """At most ``_RANGES`` - 1 values of ``order`` that part it in ranges of about as many rows: quantiles of the values with the
+    smallest hashes, a pure function of the rows."""
+    some = df.filter(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(64 * _RANGES)
+    found = [r[0] for r in some.orderBy(order).collect()]
+    return list(dict.fromkeys(found[i * len(found) // _RANGES] for i in range(1, _RANGES))) if found else []
+
+
+def _range(value: Column, bounds: list, first: int = 0) -> Column:
+    """The number of ``bounds`` (ascending) at or below ``value``, by halves."""
+    if not bounds:
+        return F.lit(first)
+    at = len(bounds) // 2
+    return F.when(value < F.lit(bounds[at]), _range(value, bounds[:at], first)).otherwise(_range(value, bounds[at + 1 :], first + at + 1))
+
+
 def flushes(events: DataFrame, lane: str, barrier: Column, order: str = "pos") -> DataFrame:
     """Events with ``flush``, the number of barriers of their lane (schema changes and truncates, themselves included) up to
-    them: writes of one number go out together, a barrier before the writes that follow it.
-
-    Barriers are few: each lane's positions are one sorted array, broadcast if there are few lanes, and events are not shuffled."""
-    at = events.filter(barrier).groupBy(lane).agg(F.sort_array(F.collect_set(order)).alias("__at"))
-    passed = F.size(F.filter("__at", lambda p: p <= F.col(order)))
-    joined = events.join(if_small(at), lane, "left")
-    return joined.withColumn("flush", F.when(F.col("__at").isNull(), 0).otherwise(passed).cast("long")).drop("__at")
+    them: writes of one number go out together, a barrier before the writes that follow it. Events of one position pass each
+    other's barriers; those without a position come last.
+
+    Positions are dealt to ranges, so that a lane with most of the events is no hot key. A range of a lane is summed in order from
+    a row with the barriers of the ranges before it, however many barriers there are. Bounds of ranges are found at once."""
+    bounds = _bounds(events, order)
+    place = F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(_range(F.col(order), bounds))
+    placed = events.withColumns({"__range": place, "__n": F.coalesce(barrier, F.lit(False)).cast("long")})
+    earlier = Window.partitionBy(lane).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(lane, "__range").agg(F.sum("__n").alias("__n"))
+    before = sums.withColumn("__n", F.sum("__n").over(earlier)).filter("__n > 0").withColumn("__before", F.lit(True))
+    rows = placed.withColumn("__before", F.lit(False)).unionByName(before, allowMissingColumns=True)
+    passed = F.sum("__n").over(Window.partitionBy(lane, "__range").orderBy(F.asc_nulls_first(order)).rangeBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("flush", passed).filter("NOT __before").drop("__range", "__n", "__before")
 
 
 def resends(failures: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -323,3 +323,19 @@ def test_command_line(spark, tmp_path, capsys):
     path.write_text(json.dumps(given | {"target": {"table": "a", "ndjson": "b"}}))
     assert command.main(["validate", str(path)]) == 1
     assert len(json.loads(capsys.readouterr().out)["findings"]) == 2
+
+
+def test_flushes_of_many_barriers(spark, duck, tmp_path):
+    """Equal to SQL where positions are shared or null and lanes null, and without work that grows with the barriers of a lane."""
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", "b", None]), draw.choice([None, *range(300)]), draw.random() < 0.4, i) for i in range(3000)]
+    events = spark.createDataFrame(rows, "lane string, pos long, stop boolean, id long")
+    events.toPandas().to_parquet(path := str(tmp_path / "events.parquet"))
+    want = duck.sql(f"SELECT id, count(*) FILTER (WHERE stop) OVER (PARTITION BY lane ORDER BY pos NULLS LAST) FROM '{path}'").fetchall()
+    for kind in ("long", "string", "double"):
+        typed = events.withColumn("pos", F.lpad(F.col("pos").cast("string"), 4, "0").cast(kind))
+        assert sorted(tuple(r) for r in delivery.flushes(typed, "lane", F.col("stop")).select("id", "flush").collect()) == sorted(want)
+    assert delivery.flushes(events.limit(0), "lane", F.col("stop")).count() == 0
+    got = delivery.flushes(spark.range(60_000).select(F.lit("a").alias("lane"), F.col("id").alias("pos")), "lane", F.lit(True))
+    assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 60_000 and got.filter("flush <> pos + 1").isEmpty()
