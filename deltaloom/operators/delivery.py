@@ -30,7 +30,11 @@ def _bounds(df: DataFrame, order: str) -> list:
     smallest hashes, a pure function of the rows."""
     some = df.filter(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(64 * _RANGES)
     found = [r[0] for r in some.orderBy(order).collect()]
-    return list(dict.fromkeys(found[i * len(found) // _RANGES] for i in range(1, _RANGES))) if found else []
+    out: list = []
+    for x in (found[i * len(found) // _RANGES] for i in range(1, _RANGES) if found):
+        if not out or x > out[-1]:  # as literals too: an hour that clocks repeat, or no number, must not turn their order
+            out.append(x)
+    return out
 
 
 def _range(value: Column, bounds: list, first: int = 0) -> Column:

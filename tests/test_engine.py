@@ -335,6 +335,8 @@ def test_flushes_of_many_barriers(spark, duck, tmp_path):
     for kind in ("long", "string", "double"):
         typed = events.withColumn("pos", F.lpad(F.col("pos").cast("string"), 4, "0").cast(kind))
         assert sorted(tuple(r) for r in delivery.flushes(typed, "lane", F.col("stop")).select("id", "flush").collect()) == sorted(want)
+    timed = events.withColumn("pos", F.timestamp_seconds(1_698_537_600 + F.col("pos") * 60))
+    assert sorted(tuple(r) for r in delivery.flushes(timed, "lane", F.col("stop")).select("id", "flush").collect()) == sorted(want)
     assert delivery.flushes(events.limit(0), "lane", F.col("stop")).count() == 0
     got = delivery.flushes(spark.range(60_000).select(F.lit("a").alias("lane"), F.col("id").alias("pos")), "lane", F.lit(True))
     assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
